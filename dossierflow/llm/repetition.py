@@ -12,6 +12,7 @@ repeated rows get equal verdicts. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -162,3 +163,14 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null or empty text has no words, fails the base rule and is not kept.
     """
     return common.per_text(df, lambda: measure, FIELDS, id_col, text_col)
+
+
+def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of df whose text the rules keep, all columns unchanged; one pass, nothing is shuffled."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in common.slices(batches, at):
+            yield batch.filter(pa.array(measure(batch.column(at).to_pylist())[-1], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
