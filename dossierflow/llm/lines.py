@@ -4,13 +4,14 @@ Two lines are almost equal at an edit distance of at most THRESHOLD = 1. By the
 principle one of THRESHOLD + 1 = 2 segments of the shorter line then stands unchanged at the
 front or at the back of the other, so each line is entered under both of its segments and
 probes, for its own length and the length below, the segments that a line of that length has.
-Pairs that share a key are verified with a banded bit-parallel automaton (one bit for each of
-the 2 * THRESHOLD + 1 diagonals, one word for each number of errors).
+What lies between the equal parts is verified with a banded bit-parallel automaton (one bit for
+each of the 2 * THRESHOLD + 1 diagonals, one word for each number of errors).
 
-A key that many different lines share is not expanded into pairs. Its lines are keyed again by
-everything but one of FINER pieces, and lines under a key that is still crowded by everything
-but one character: lines that share such a key are linked by that alone, so a minimum for each
-key replaces the pairs. No step drops a link.
+A key that many different lines share is not expanded into pairs. The same step runs again on
+what its lines do not share, in PIECES segments of which all but one must be equal, and again,
+until the rest of a line is at most PIECES characters long. Lines that share all but one
+character can be no more than there are characters, so the last step needs no bound of its own.
+No step drops a link.
 
 Only DataFrame functions run here. Nulls: a null text stays null and has no lines. Blank lines
 (spaces, tabs, carriage returns, form feeds) always stay. Lines of fewer than MIN_CHARS
@@ -30,9 +31,9 @@ from . import common
 THRESHOLD = 1
 #: Shorter lines are compared exactly.
 MIN_CHARS = 20
-#: A key that more different lines share is refined instead of paired.
+#: A key that more different lines share is refined, in so many segments, instead of paired.
 CROWD = 32
-FINER = 24
+PIECES = 16
 _BLANK = " \t\r\x0b\x0c"
 
 
@@ -45,43 +46,33 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _segment_keys(line: Column) -> Column:
-    """(key, own) of both segments, for the line's own length (own) and the length below."""
-    n = F.length(line)
+def _keys(text: Column, pieces: int, context: Column, rest: bool) -> Column:
+    """An entry for each of (at most) pieces segments, for the text's own length (own) and for the length below.
 
-    def of(length: Column, own: bool) -> list[Column]:
-        half = F.floor(length / 2).cast("int")
-        back = (length - half).cast("int")
-        return [
-            F.struct(F.xxhash64(F.lit("front"), length, F.substring(line, F.lit(1), half)).alias("key"), F.lit(own).alias("own")),
-            F.struct(F.xxhash64(F.lit("back"), length, F.substring(line, (n - back + 1).cast("int"), back)).alias("key"), F.lit(own).alias("own")),
-        ]
-
-    return F.array(*of(n, True), *of(n - 1, False))
-
-
-def _piece_keys(line: Column, pieces: Column) -> Column:
-    """(key, own) of all but one piece, for the line's own length (own) and the length below."""
-    n = F.length(line)
+    key: of all but that segment, where a text of that length has it; mid: what is left out.
+    """
+    n = F.length(text)
 
     def of(length: Column, own: bool) -> Column:
-        def key(j: Column) -> Column:
-            start = F.floor(j * length / pieces).cast("int")
-            after = (length - F.floor((j + 1) * length / pieces)).cast("int")
-            return F.struct(
-                F.xxhash64(length, j, F.substring(line, F.lit(1), start), F.substring(line, (n - after + 1).cast("int"), after)).alias("key"),
-                F.lit(own).alias("own"),
-            )
+        segments = F.greatest(F.lit(1), F.least(F.lit(pieces), length))
+
+        def entry(j: Column) -> Column:
+            start = F.floor(j * length / segments).cast("int")
+            after = (length - F.floor((j + 1) * length / segments)).cast("int")
+            front, back = F.substring(text, F.lit(1), start), F.substring(text, (n - after + 1).cast("int"), after)
+            fields = [F.xxhash64(context, length, j, front, back).alias("key"), F.lit(own).alias("own")]
+            return F.struct(*fields, F.substring(text, (start + 1).cast("int"), (n - start - after).cast("int")).alias("mid")) if rest else F.struct(*fields)
 
-        return F.transform(F.sequence(F.lit(0), pieces - 1), key)
+        return F.filter(F.transform(F.sequence(F.lit(0), segments - 1), entry), lambda e: length >= 0)
 
     return F.concat(of(n, True), of(n - 1, False))
 
 
 def within_one(x: str, y: str) -> Column:
-    """True if the edit distance of columns x and y is at most 1; y is at most one character longer or shorter."""
+    """True if the edit distance of columns x and y is at most 1."""
     swap = F.length(x) > F.length(y)
-    xs, ys = F.split(F.when(swap, F.col(y)).otherwise(F.col(x)), ""), F.split(F.when(swap, F.col(x)).otherwise(F.col(y)), "")
+    letters = lambda c: F.filter(F.split(c, ""), lambda v: v != "")
+    xs, ys = letters(F.when(swap, F.col(y)).otherwise(F.col(x))), letters(F.when(swap, F.col(x)).otherwise(F.col(y)))
     m, n = F.size(xs), F.size(ys)
 
     def step(state: Column, i: Column) -> Column:
@@ -92,100 +83,43 @@ def within_one(x: str, y: str) -> Column:
         r1 = state["r1"].bitwiseAND(mask).bitwiseOR(state["r0"]).bitwiseOR(F.shiftright(state["r0"], 1)).bitwiseOR(F.shiftleft(r0, 1).bitwiseAND(F.lit(7)))
         return F.struct(r0.alias("r0"), r1.alias("r1"))
 
-    end = F.aggregate(F.sequence(F.lit(0), m - 1), F.struct(F.lit(2).alias("r0"), F.lit(6).alias("r1")), step)
+    end = F.aggregate(F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")), F.struct(F.lit(2).alias("r0"), F.lit(6).alias("r1")), step)
     return (n - m <= THRESHOLD) & (end["r1"].bitwiseAND(F.call_function("shiftleft", F.lit(1), n - m + 1)) != 0)
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """Keys that different lines share, at least one of them as its own. Pre-aggregated: equal lines merge before the shuffle."""
-    return keys.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("own").alias("own")).filter("own and low < high").select("key")
-
-
-def _members(keys: DataFrame) -> DataFrame:
-    """(key, a, b, own) of shared keys, each line once, and how many lines have the key."""
-    return keys.join(_shared(keys), "key", "left_semi").groupBy("key", "a", "b").agg(F.max("own").alias("own"))
-
-
-def _candidates(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of different lines under keys that are not crowded, each pair once."""
-    cold = members.join(sizes.filter(F.col("n") <= CROWD), "key")
-    # a crowd is at most CROWD lines, so the list of a key is bounded
-    lists = cold.groupBy("key").agg(F.collect_list(F.struct("a", "b", "own")).alias("m"))
-    return (
-        lists.select(F.explode("m").alias("x"), "m")
-        .filter("x.own")
-        .select("x", F.explode("m").alias("y"))
-        .filter("(x.a <> y.a or x.b <> y.b) and (not y.own or struct(x.a, x.b) < struct(y.a, y.b))")
-        .select(F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb"))
-        .distinct()
-    )
+def _linked(crowd: DataFrame) -> DataFrame:
+    """(a, b) of the later line of each pair under a key whose rests are at most one edit apart.
 
-
-def _crowded(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    return members.join(sizes.filter(F.col("n") > CROWD), "key", "left_semi").select("a", "b").distinct()
-
-
-def _later(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of the later line of each verified pair."""
-    x = texts.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("line").alias("x"), F.col("first").alias("fx"))
-    y = texts.select(F.col("a").alias("ya"), F.col("b").alias("yb"), F.col("line").alias("y"), F.col("first").alias("fy"))
-    return (
-        pairs.join(x, ["xa", "xb"])
-        .join(y, ["ya", "yb"])
-        .filter(F.abs(F.length("x") - F.length("y")) <= THRESHOLD)
-        .filter(within_one("x", "y"))
-        .select(F.when(F.col("fx") < F.col("fy"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b"))).otherwise(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b"))).alias("l"))
-        .select("l.a", "l.b")
-        .distinct()
-    )
-
-
-def _neighbours(texts: DataFrame) -> DataFrame:
-    """(a, b) of lines with an earlier line one character away, by keys that leave out one character."""
-    n = F.length("line")
-    without = lambda j: F.xxhash64(F.substring("line", F.lit(1), j), F.substring(F.col("line"), (j + 2).cast("int"), n))
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(j.alias("j"), without(j).alias("key")))
-    rows = texts.select("a", "b", "first", n.alias("n"), F.explode(each).alias("k")).select("a", "b", "first", "n", "k.j", "k.key")
-    # of one length, without the same place
-    low = rows.groupBy("n", "j", "key").agg(F.min("first").alias("low"), F.min("a").alias("p"), F.max("a").alias("q")).filter("p < q")
-    same = rows.join(low, ["n", "j", "key"]).filter(F.col("first") > F.col("low")).select("a", "b")
-    return same.unionByName(_by_deletion(texts)).distinct()
-
-
-def _by_deletion(texts: DataFrame) -> DataFrame:
-    """(a, b) of lines with an earlier line that is equal to them without one character, or the other way round."""
-    n = F.length("line")
-    whole = F.xxhash64(F.lit("whole"), "line")
-    less = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda j: F.xxhash64(F.lit("whole"), F.concat(F.substring(F.col("line"), F.lit(1), j), F.substring(F.col("line"), (j + 2).cast("int"), n))),
-    )
-    longer = texts.select("a", "b", "first", F.explode(F.array_distinct(less)).alias("key"))
-    own = texts.select("a", "b", "first", whole.alias("key"))
-    by_longer = longer.groupBy("key").agg(F.min("first").alias("low"))
-    drop_own = own.join(by_longer, "key").filter(F.col("low") < F.col("first")).select("a", "b")
-    drop_longer = longer.join(own.select("key", F.col("first").alias("low")), "key").filter(F.col("low") < F.col("first")).select("a", "b")
-    return drop_own.unionByName(drop_longer)
+    crowd: key, a, b, own, first, mid; the lines of a key are few, so its list is bounded.
+    """
+    lists = crowd.groupBy("key").agg(F.collect_list(F.struct("a", "b", "own", "first", "mid")).alias("m"))
+    pairs = lists.select(F.explode("m").alias("x"), "m").filter("x.own").select("x", F.explode("m").alias("y"))
+    once = "(x.a <> y.a or x.b <> y.b) and (not y.own or struct(x.a, x.b) < struct(y.a, y.b)) and abs(length(x.mid) - length(y.mid)) <= 1"
+    near = pairs.filter(once).select("x", "y", F.col("x.mid").alias("p"), F.col("y.mid").alias("q")).filter(within_one("p", "q"))
+    later = F.when(F.col("x.first") < F.col("y.first"), F.struct("y.a", "y.b")).otherwise(F.struct("x.a", "x.b"))
+    return near.select(later.alias("l")).select("l.a", "l.b").distinct()
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """(a, b) of different lines that have an earlier line at a distance of one."""
     long = lines.filter(F.length("line") >= MIN_CHARS)
-    keys = long.select("a", "b", F.explode(_segment_keys(F.col("line"))).alias("k")).select("a", "b", "k.key", "k.own")
-    members = common.cut(_members(keys))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    wanted = members.select("a", "b").distinct()
-    texts = common.cut(
-        long.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.min("line").alias("line"))
-    )
-    found = [_later(_candidates(members, sizes), texts)]
-    crowd = texts.join(_crowded(members, sizes), ["a", "b"], "left_semi")
-    finer = crowd.select("a", "b", F.explode(_piece_keys(F.col("line"), F.least(F.lit(FINER), F.length("line")))).alias("k")).select("a", "b", "k.key", "k.own")
-    members = common.cut(_members(finer))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    found.append(_later(_candidates(members, sizes), texts))
-    found.append(_neighbours(texts.join(_crowded(members, sizes), ["a", "b"], "left_semi")))
-    return common.cut(reduce(DataFrame.unionByName, found).distinct())
+    keys = long.select("a", "b", F.explode(_keys(F.col("line"), THRESHOLD + 1, F.lit(0), False)).alias("k")).select("a", "b", "k.key", "k.own")
+    # keys that different lines share, one of them as its own; equal lines merge before the shuffle
+    shared = keys.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("own").alias("own")).filter("own and low < high").select("key")
+    wanted = common.cut(keys.join(shared, "key", "left_semi").select("key", "a", "b").distinct())
+    texts = long.join(wanted.select("a", "b").distinct(), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.min("line").alias("text"))
+    rows = texts.select("a", "b", "first", F.explode(_keys(F.col("text"), THRESHOLD + 1, F.lit(0), True)).alias("k")).select("a", "b", "first", "k.*")
+    rows = common.cut(rows.join(wanted, ["key", "a", "b"], "left_semi"))
+    found = []
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.length("mid")).alias("rest"), F.max("own").alias("own")).filter("n > 1 and own")
+        bounded = (F.col("n") <= CROWD) | (F.col("rest") <= 2)
+        found.append(common.cut(_linked(rows.join(sizes.filter(bounded), "key", "left_semi"))))
+        crowded = rows.join(sizes.filter(~bounded), "key", "left_semi")
+        finer = crowded.select("a", "b", "first", F.explode(_keys(F.col("mid"), PIECES, F.col("key"), True)).alias("k")).select("a", "b", "first", "k.*")
+        rows = common.cut(finer.groupBy("key", "a", "b").agg(F.max("own").alias("own"), F.min("first").alias("first"), F.min("mid").alias("mid")))
+        if rows.isEmpty():
+            return common.cut(reduce(DataFrame.unionByName, found).distinct())
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
