@@ -39,10 +39,19 @@ def words(text: Column) -> Column:
 
 def word_ngrams(tokens: Column, n: int) -> Column:
     """Set of runs of n tokens; a shorter text is one run."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    # shifted copies side by side: a lambda that indexed the tokens would work them out again for each run
+    runs = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(tokens, F.lit(k + 1), F.greatest(F.size(tokens) - (n - 1), F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
     return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).when(F.size(tokens) < n, F.array(F.array_join(tokens, " "))).otherwise(F.array_distinct(runs))
 
 
+def settled(df, **columns: Column):
+    """df with more columns, each computed once: a generator keeps the optimizer from repeating their expressions."""
+    entry = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return df.select("*", F.explode(F.array(entry)).alias("__s")).select(*df.columns, "__s.*")
+
+
 def script_counts(text: Column) -> dict[str, Column]:
     return {name: F.length(F.regexp_replace(text, f"[^{chars}]", "")) for name, chars in SCRIPTS.items()}
 
@@ -128,7 +137,7 @@ def slug(name: Column) -> Column:
 
 
 def markdown_cell(value: Column) -> Column:
-    clean = F.btrim(F.regexp_replace(F.regexp_replace(value, r"\s*\n\s*", " "), r"\|", r"\\\\|"))
+    clean = F.btrim(F.replace(F.regexp_replace(value, r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|")))
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit("—"))
 
 

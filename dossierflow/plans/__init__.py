@@ -1,6 +1,6 @@
 """Registered queries and the steps of the pipeline."""
 
-from . import piece_queries, source_queries  # noqa: F401
+from . import piece_queries, source_queries, text_queries, upkeep_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
