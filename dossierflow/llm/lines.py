@@ -46,7 +46,7 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _keys(text: Column, pieces: int, context: Column, rest: bool) -> Column:
+def _keys(text: Column, pieces: int, context: Column) -> Column:
     """An entry for each of (at most) pieces segments, for the text's own length (own) and for the length below.
 
     key: of all but that segment, where a text of that length has it; mid: what is left out.
@@ -61,7 +61,7 @@ def _keys(text: Column, pieces: int, context: Column, rest: bool) -> Column:
             after = (length - F.floor((j + 1) * length / segments)).cast("int")
             front, back = F.substring(text, F.lit(1), start), F.substring(text, (n - after + 1).cast("int"), after)
             fields = [F.xxhash64(context, length, j, front, back).alias("key"), F.lit(own).alias("own")]
-            return F.struct(*fields, F.substring(text, (start + 1).cast("int"), (n - start - after).cast("int")).alias("mid")) if rest else F.struct(*fields)
+            return F.struct(*fields, F.substring(text, (start + 1).cast("int"), (n - start - after).cast("int")).alias("mid"))
 
         return F.filter(F.transform(F.sequence(F.lit(0), segments - 1), entry), lambda e: length >= 0)
 
@@ -73,18 +73,48 @@ def within_one(x: str, y: str) -> Column:
     swap = F.length(x) > F.length(y)
     letters = lambda c: F.filter(F.split(c, ""), lambda v: v != "")
     xs, ys = letters(F.when(swap, F.col(y)).otherwise(F.col(x))), letters(F.when(swap, F.col(x)).otherwise(F.col(y)))
-    m, n = F.size(xs), F.size(ys)
+    m, n = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
 
     def step(state: Column, i: Column) -> Column:
-        c = F.get(xs, i)
-        bit = lambda d: F.when(c == F.get(ys, i + (d - 1)), F.lit(1 << d)).otherwise(F.lit(0))
+        c = F.get(state["xs"], i)
+        bit = lambda d: F.when(c == F.get(state["ys"], i + (d - 1)), F.lit(1 << d)).otherwise(F.lit(0))
         mask = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
         r0 = state["r0"].bitwiseAND(mask)
         r1 = state["r1"].bitwiseAND(mask).bitwiseOR(state["r0"]).bitwiseOR(F.shiftright(state["r0"], 1)).bitwiseOR(F.shiftleft(r0, 1).bitwiseAND(F.lit(7)))
-        return F.struct(r0.alias("r0"), r1.alias("r1"))
+        return F.struct(r0.alias("r0"), r1.alias("r1"), state["xs"].alias("xs"), state["ys"].alias("ys"))
 
-    end = F.aggregate(F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")), F.struct(F.lit(2).alias("r0"), F.lit(6).alias("r1")), step)
-    return (n - m <= THRESHOLD) & (end["r1"].bitwiseAND(F.call_function("shiftleft", F.lit(1), n - m + 1)) != 0)
+    # the letters travel in the state: an expression outside of it would be evaluated again for each of them
+    start = F.struct(F.lit(2).alias("r0"), F.lit(6).alias("r1"), xs.alias("xs"), ys.alias("ys"))
+    places = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
+    end = F.aggregate(places, start, step, lambda s: s["r1"])
+    return (n - m <= THRESHOLD) & (end.bitwiseAND(F.call_function("shiftleft", F.lit(1), n - m + 1)) != 0)
+
+
+def _halves(lines: DataFrame, line: str, rest: bool) -> DataFrame:
+    """lines exploded by the keys of the two segments, as _keys gives them for more.
+
+    The keys are plain columns first: generated code then counts characters once for a line.
+    """
+    n, columns, entries = F.length(line), {}, []
+    for length, own in ((n, True), (n - 1, False)):
+        half = F.floor(length / 2).cast("int")
+        back = (length - half).cast("int")
+        for front in (True, False):
+            equal = F.substring(F.col(line), F.lit(1), half) if front else F.substring(F.col(line), (n - back + 1).cast("int"), back)
+            left_out = F.substring(F.col(line), (half + 1).cast("int"), n) if front else F.substring(F.col(line), F.lit(1), (n - back).cast("int"))
+            k = len(entries)
+            columns[f"k{k}"] = F.xxhash64(length, F.lit(front), equal)
+            if rest:
+                columns[f"m{k}"] = left_out
+            entries.append(F.struct(F.col(f"k{k}").alias("key"), F.lit(own).alias("own"), *([F.col(f"m{k}").alias("mid")] if rest else [])))
+    kept = [c for c in lines.columns if c != line]
+    return lines.select(*kept, *[c.alias(k) for k, c in columns.items()]).select(*kept, F.explode(F.array(*entries)).alias("k")).select(*kept, "k.*")
+
+
+def _settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, each computed once: a generator keeps the optimizer from repeating their expressions."""
+    entry = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return rows.select("*", F.explode(F.array(entry)).alias("__s")).select(*rows.columns, "__s.*")
 
 
 def _linked(crowd: DataFrame) -> DataFrame:
@@ -95,7 +125,14 @@ def _linked(crowd: DataFrame) -> DataFrame:
     lists = crowd.groupBy("key").agg(F.collect_list(F.struct("a", "b", "own", "first", "mid")).alias("m"))
     pairs = lists.select(F.explode("m").alias("x"), "m").filter("x.own").select("x", F.explode("m").alias("y"))
     once = "(x.a <> y.a or x.b <> y.b) and (not y.own or struct(x.a, x.b) < struct(y.a, y.b)) and abs(length(x.mid) - length(y.mid)) <= 1"
-    near = pairs.filter(once).select("x", "y", F.col("x.mid").alias("p"), F.col("y.mid").alias("q")).filter(within_one("p", "q"))
+    rests = _settled(pairs.filter(once).select("x", "y", F.col("x.mid").alias("p"), F.col("y.mid").alias("q")), m=F.least(F.length("p"), F.length("q")))
+    # one edit leaves all but one of PIECES segments in place, and equal ends do not change the distance of what is between
+    start = lambda j: F.floor(j * F.col("m") / PIECES).cast("int")
+    after = lambda j: (F.col("m") - F.floor((j + 1) * F.col("m") / PIECES)).cast("int")
+    equal = lambda j: (F.substring(F.col("p"), F.lit(1), start(j)) == F.substring(F.col("q"), F.lit(1), start(j))) & (F.right("p", after(j)) == F.right("q", after(j)))
+    between = lambda c: F.substring(F.col(c), start(F.col("j")) + 1, F.length(c) - start(F.col("j")) - after(F.col("j")))
+    rests = rests.select("x", "y", "p", "q", "m", F.explode(F.slice(F.filter(F.sequence(F.lit(0), F.lit(PIECES - 1)), equal), 1, 1)).alias("j"))
+    near = _settled(rests.select("x", "y", "p", "q", "m", "j"), u=between("p"), v=between("q")).filter(within_one("u", "v"))
     later = F.when(F.col("x.first") < F.col("y.first"), F.struct("y.a", "y.b")).otherwise(F.struct("x.a", "x.b"))
     return near.select(later.alias("l")).select("l.a", "l.b").distinct()
 
@@ -103,20 +140,19 @@ def _linked(crowd: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame) -> DataFrame:
     """(a, b) of different lines that have an earlier line at a distance of one."""
     long = lines.filter(F.length("line") >= MIN_CHARS)
-    keys = long.select("a", "b", F.explode(_keys(F.col("line"), THRESHOLD + 1, F.lit(0), False)).alias("k")).select("a", "b", "k.key", "k.own")
+    keys = _halves(long.select("a", "b", "line"), "line", False)
     # keys that different lines share, one of them as its own; equal lines merge before the shuffle
     shared = keys.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("own").alias("own")).filter("own and low < high").select("key")
     wanted = common.cut(keys.join(shared, "key", "left_semi").select("key", "a", "b").distinct())
     texts = long.join(wanted.select("a", "b").distinct(), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.min("line").alias("text"))
-    rows = texts.select("a", "b", "first", F.explode(_keys(F.col("text"), THRESHOLD + 1, F.lit(0), True)).alias("k")).select("a", "b", "first", "k.*")
-    rows = common.cut(rows.join(wanted, ["key", "a", "b"], "left_semi"))
+    rows = common.cut(_halves(texts, "text", True).join(wanted, ["key", "a", "b"], "left_semi"))
     found = []
     while True:
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.length("mid")).alias("rest"), F.max("own").alias("own")).filter("n > 1 and own")
         bounded = (F.col("n") <= CROWD) | (F.col("rest") <= 2)
         found.append(common.cut(_linked(rows.join(sizes.filter(bounded), "key", "left_semi"))))
         crowded = rows.join(sizes.filter(~bounded), "key", "left_semi")
-        finer = crowded.select("a", "b", "first", F.explode(_keys(F.col("mid"), PIECES, F.col("key"), True)).alias("k")).select("a", "b", "first", "k.*")
+        finer = crowded.select("a", "b", "first", F.explode(_keys(F.col("mid"), PIECES, F.col("key"))).alias("k")).select("a", "b", "first", "k.*")
         rows = common.cut(finer.groupBy("key", "a", "b").agg(F.max("own").alias("own"), F.min("first").alias("first"), F.min("mid").alias("mid")))
         if rows.isEmpty():
             return common.cut(reduce(DataFrame.unionByName, found).distinct())
