@@ -74,7 +74,8 @@ def w8_coverage_sweep(spark, sf_dir):
 
 
 _CONF = "array_position(['low', 'medium', 'high'], {})"
-_ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY start_order, end_order, line) AS rn FROM items)"
+# some lines share a number: ties go by the fields, nulls first
+_ORDERED = """o AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY start_order, end_order, line, type NULLS FIRST, date NULLS FIRST, author NULLS FIRST, confidence) AS rn FROM items)"""
 
 
 @query(f"""WITH RECURSIVE {ITEMS_SQL}, {_ORDERED}, f AS (
@@ -203,12 +204,13 @@ def j12_pieces_to_pages(spark, sf_dir):
     return spots.join(collection.group_sizes(spark, sf_dir), "group_key").filter("pos between 1 and pages").select("line", "pos")
 
 
-_MATCH_SQL = """k AS (SELECT line AS key_id, group_key, start_order AS a, end_order + 1 AS b FROM items WHERE line % 9 = 0), x AS (SELECT line AS index_id, group_key, start_order AS c, end_order AS d FROM items WHERE line % 9 = 1),
+_MATCH_SQL = """one AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY line ORDER BY group_key, start_order, end_order) = 1),
+k AS (SELECT line AS key_id, group_key, start_order AS a, end_order + 1 AS b FROM one WHERE line % 9 = 0), x AS (SELECT line AS index_id, group_key, start_order AS c, end_order AS d FROM one WHERE line % 9 = 1),
 n AS (SELECT key_id, index_id, least(b, d) - greatest(a, c) + 1 AS n, b - a + 1 + d - c + 1 AS both_ FROM k JOIN x USING (group_key) WHERE least(b, d) >= greatest(a, c))"""
 
 
 def _key_and_index(spark, sf_dir):
-    items = collection.items(spark, sf_dir)
+    items = collection.items(spark, sf_dir).groupBy("line").agg(F.min(F.struct("group_key", "start_order", "end_order")).alias("x")).select("line", "x.*")
     key = items.filter(F.col("line") % 9 == 0).select(F.col("line").alias("id"), "group_key", "start_order", (F.col("end_order") + 1).alias("end_order"))
     return key, items.filter(F.col("line") % 9 == 1).select(F.col("line").alias("id"), "group_key", "start_order", "end_order")
 
