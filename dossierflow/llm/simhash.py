@@ -142,7 +142,6 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def edges(rows: np.ndarray) -> pa.RecordBatch:
         _, shard = np.unique(rows[:, :2], axis=0, return_inverse=True)
-        fp = rows[:, 2].view(np.uint64) if rows.flags.c_contiguous else np.ascontiguousarray(rows[:, 2]).view(np.uint64)
         fp = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
         low = bk_forest(shard.ravel(), fp)
         far = low != np.arange(len(low))
@@ -193,7 +192,7 @@ def forest(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
             break
         finer = {m: [m | x for x in _split([b for b in range(BITS) if not m >> b & 1])] for m in here}
         known = {x for v in finer.values() for x in v}
-        choice = F.create_map(*[F.lit(x) for m, v in finer.items() for x in (_long(m),)] and [c for m, v in finer.items() for c in (F.lit(_long(m)), F.array(*[F.lit(_long(x)) for x in v]))])
+        choice = F.create_map(*[c for m, v in finer.items() for c in (F.lit(_long(m)), F.array(*[F.lit(_long(x)) for x in v]))])
         rows = crowded.select("fp", F.explode(choice[F.col("mask")]).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp").distinct()
     out = found[0]
     for more in found[1:]:
@@ -225,10 +224,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id_col, fingerprint as 16 hexadecimal digits, component_id: the smallest id that links reach)."""
     prints = common.cut(fingerprints(df, id_col, text_col, width))
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
+    nodes = common.cut(prints.groupBy("fp").agg(F.min(id_col).alias("low")))
     roots = components(forest(nodes.select("fp")))
     linked = nodes.join(roots, nodes["fp"] == roots["node"])
     best = linked.groupBy("root").agg(F.min("low").alias("best"))
     of = linked.join(best, "root").select("fp", F.col("best"))
-    names = nodes.join(of, "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id"))
+    # written first: a join of two plain shuffles is one whose hot partitions Spark can split
+    names = common.cut(nodes.join(of, "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id")))
     return prints.join(names, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
