@@ -168,7 +168,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = near_lines(lines)
     places = lines.select("id", "th", "pos", "a", "b")
     firsts = places.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("first"))
-    decided = firsts.join(near.withColumn("near", F.lit(True)), ["a", "b"], "left").filter("n > 1 or near")
+    # written first: a join of two plain shuffles is one whose hot partitions Spark can split
+    decided = common.cut(firsts.join(near.withColumn("near", F.lit(True)), ["a", "b"], "left").filter("n > 1 or near"))
     gone = (
         places.join(decided, ["a", "b"])
         .filter(F.col("near").isNotNull() | (F.struct("id", "th", "pos") != F.col("first")))
