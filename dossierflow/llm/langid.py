@@ -139,12 +139,12 @@ class Model:
 
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
     """Texts and languages to learn from: at most SAMPLE of each language and not held out."""
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    ranked = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (common.fold(id_col) != 1))
+    named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    usable = named.filter("id is not null and text is not null and lang is not null").filter(common.fold("id") != 1)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "id"))
-    ids = ranked.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), order.alias("o")).withColumn("r", rank).filter(F.col("r") <= SAMPLE)
-    chosen = ids.select("id", "o", "r").distinct()
-    rows = ranked.join(F.broadcast(chosen), ranked[id_col] == chosen["id"]).select("o", "id", F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect()
+    ids = usable.select("id", "lang", F.xxhash64(F.col("id").cast("string")).alias("o")).withColumn("r", rank).filter(F.col("r") <= SAMPLE)
+    # at most SAMPLE ids of each language are broadcast, and their rows collected
+    rows = usable.join(F.broadcast(ids.select("id", "o").distinct()), "id").select("o", "id", "text", "lang").collect()
     rows.sort(key=lambda r: (r["o"], str(r["id"]), r["text"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 

@@ -174,16 +174,17 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         places.join(decided, ["a", "b"])
         .filter(F.col("near").isNotNull() | (F.struct("id", "th", "pos") != F.col("first")))
         .groupBy("id", "th")
-        .agg(F.collect_set("pos").alias("gone"))
+        .agg(F.collect_set("pos").alias("__gone"))
+        .withColumnsRenamed({"id": "__gone_id", "th": "__gone_th"})
     )
     whole = df.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text_col)})
-    joined = whole.join(gone.hint("shuffle_hash"), whole["__id"].eqNullSafe(gone["id"]) & (whole["__th"] == gone["th"]), "left")
+    joined = whole.join(gone.hint("shuffle_hash"), whole["__id"].eqNullSafe(gone["__gone_id"]) & (whole["__th"] == gone["__gone_th"]), "left")
     parts = F.split(F.col(text_col), "\n")
     solid = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(_BLANK)) != ""))
-    stay = F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i))
-    clean = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    removed = F.coalesce(F.size("gone"), F.lit(0))
+    stay = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    clean = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    removed = F.coalesce(F.size("__gone"), F.lit(0))
     n_lines = F.coalesce(F.when(F.col(text_col).isNotNull(), solid), F.lit(0))
     return joined.withColumns(
-        {"n_lines": n_lines.cast("long"), "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(removed).cast("long"), "emptied": F.col("gone").isNotNull() & (solid == F.size("gone")), text_col: clean}
-    ).drop("__id", "__th", "id", "th", "gone")
+        {"n_lines": n_lines.cast("long"), "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(removed).cast("long"), "emptied": F.col("__gone").isNotNull() & (solid == F.size("__gone")), text_col: clean}
+    ).drop("__id", "__th", "__gone_id", "__gone_th", "__gone")

@@ -75,6 +75,7 @@ def test_edge_cases(spark):
 def test_empty_table_repeated_rows_and_clashing_names(spark):
     assert lines.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "one line\ntwo", "x", 1), (1, "one line\ntwo", "x", 1), (None, "one line", "y", None), (2, None, None, 2)]
-    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, line string, pos int")).collect()
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, line string, id int")).collect()
+    assert {r["id"] for r in got} == {1, 2, None}
     assert sorted((r["doc_id"] or 0, r["text"], r["line"]) for r in got if r["text"] is not None) == [(0, "one line", "y"), (1, "two", "x"), (1, "two", "x")]
     assert len(got) == 4

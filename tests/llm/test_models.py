@@ -16,7 +16,7 @@ def test_language_of_held_out_texts(spark):
     r = random.Random(13)
     rows = [(k, sentence(r, lang, r.randint(3, 60)), lang, "s") for k in range(400) for lang in [r.choice(list(WORDS))]]
     rows += [(1000, None, "aa", "s"), (1001, "12 34 !", "bb", "s"), (1002, "", None, "s"), (None, "lorem ipsum", "aa", "s")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string").withColumns({"id": F.lit(1), "o": F.lit(2)})
     got = {x["doc_id"]: x for x in langid.language_id(df).collect()}
     held = [(k, lang) for k, t, lang, _ in rows[:400] if common.held_out(k)]
     assert sum(got[k]["lang_pred"] == lang for k, lang in held) / len(held) > 0.98
