@@ -127,6 +127,8 @@ class Tokenizer:
             if text.isascii():
                 return pattern.findall(text.lower() if self.lower else text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.lower:
+                text = text.translate(LOWER)
             return (older if fresh.search(text) else pattern).findall(text.lower() if self.lower else text)
 
         def split(text: str) -> list[str | int]:
@@ -148,6 +150,13 @@ UNICODE_16 = [
 ]
 
 
+#: Lower case of the upper-case letters that Unicode 16 and 17 added.
+LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
 @lru_cache(1)
 def _newer() -> str:
     """A character class of the letters and numbers of newer Unicode versions than the tokenizer's."""
