@@ -50,3 +50,37 @@ def append_once(spark, frame: DataFrame, path: str, key: list[str]) -> int:
     if n:
         fresh.write.mode("append").parquet(path)
     return n
+
+
+class StalePlanError(RuntimeError):
+    """The sources changed after the plan was made."""
+
+
+def fingerprint(listing: DataFrame) -> str:
+    """Of all (relative_path, size, mtime): a sum of hashes, so that no list is gathered."""
+    line = F.concat_ws(":", "relative_path", "size", "mtime")
+    row = listing.agg(F.count("*").alias("n"), F.sum(F.xxhash64(line).cast("decimal(20,0)")).alias("s")).first()
+    return f"{row['n']}:{row['s'] or 0}"
+
+
+def apply_plan(tables: dict[str, DataFrame], stale: DataFrame, key: dict[str, list[str]], planned: str, listing: DataFrame) -> dict[str, DataFrame]:
+    """tables without the rows of stale files; refuses if the listing is no longer the one that was planned for.
+
+    key: the columns that name a file in each table. Nothing is written: the caller swaps all tables at once.
+    """
+    if fingerprint(listing) != planned:
+        raise StalePlanError("the sources changed since the plan was made; plan again")
+    return {name: without(frame, stale, key[name]) if name in key else frame for name, frame in tables.items()}
+
+
+def rebuilt_once(spark, path: str, revision: int, build) -> bool:
+    """Writes build() to path unless the table there has this revision already; returns whether it built."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        if not spark.read.parquet(path).filter(F.col("revision") == revision).isEmpty():
+            return False
+    except AnalysisException:
+        pass
+    build().withColumn("revision", F.lit(revision)).write.mode("overwrite").parquet(path)
+    return True

@@ -110,3 +110,36 @@ def test_readers(spark):
     for x in readers.read_pages(files).orderBy("path", "number").collect():
         got.setdefault(x["path"], []).append(x["text"] if x["error"] is None else x["error"])
     assert got == {p: want for p, (_, want) in cases.items() if want} | {"bad.docx": ["BadZipFile"], "none.txt": [""]}
+
+
+def test_plans_are_refused_after_a_change(spark, tmp_path):
+    listing = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0)], "relative_path string, size long, mtime double")
+    planned = upkeep.fingerprint(listing)
+    page = spark.createDataFrame([("a", 1), ("b", 1)], "path string, number int")
+    stale = spark.createDataFrame([("a",)], "path string")
+    left = upkeep.apply_plan({"page": page, "event": stale}, stale, {"page": ["path"]}, planned, listing.repartition(3))
+    assert [r["path"] for r in left["page"].collect()] == ["b"] and left["event"].count() == 1
+    try:
+        upkeep.apply_plan({}, stale, {}, planned, listing.withColumn("size", ordered.F.lit(3)))
+        raise AssertionError
+    except upkeep.StalePlanError:
+        pass
+    path = str(tmp_path / "grams")
+    assert [upkeep.rebuilt_once(spark, path, r, lambda: page) for r in (1, 1, 2)] == [True, False, True]
+
+
+def test_engine_falls_back_on_halves():
+    from dossierflow.operators import engines
+
+    class Small:
+        def classify(self, pages):
+            if len(pages) > 1 or pages[0]["text"] == "bad":
+                raise ValueError
+            return [{"start_order": pages[0]["pos"], "confidence": "high"}]
+
+    class Any:
+        def classify(self, pages):
+            return [{"start_order": p["pos"], "confidence": "high"} for p in pages]
+
+    got = engines.with_fallback(Small(), Any()).classify([{"pos": k, "text": "bad" if k == 2 else "x"} for k in range(4)])
+    assert [(x["start_order"], x["confidence"]) for x in got] == [(0, "high"), (1, "high"), (2, "low"), (3, "high")]
