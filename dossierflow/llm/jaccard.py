@@ -1,0 +1,188 @@
+"""Near-dedup by word shingles: texts link at a Jaccard similarity of at least 0.8; groups are connected components.
+
+A text is the set of its shingles of WIDTH = 5 words (words and case as in simhash.py; a text of
+fewer words is one shingle). Candidates come from prefix filtering, which loses no pair: in any one
+order of all shingles, two sets of similarity 0.8 share one of the first floor(n / 5) + 1 shingles
+of each (the front). The order is by hash, with shingles that many fronts share moved to the end; a
+bitmap of fixed size says which, and a shingle that it names by chance does no harm, as any order
+will do. A candidate goes on only if the common part of the fronts leaves 0.8 within reach, and is
+then verified by its exact intersection.
+
+A shingle that over CROWD different sets still have in front gives no list of all pairs: each set is
+compared with a few leaders, and then only with sets of other components. So a pair is left out
+only where its sets are in one component already.
+
+Nulls: a null text has no shingles, like an empty one; these form one group. A null id counts as
+larger than any other. Repeated rows are each returned.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import common
+from .simhash import SEED, components
+
+WIDTH = 5
+#: A shingle that more different sets have in front is not paired at once.
+CROWD = 32
+#: A shingle of more fronts goes to the end of the order; places in the bitmap of these.
+OFTEN = 8
+BITS = 1 << 24
+#: Times that the sets under a crowded shingle are compared with leaders.
+ROUNDS = 2
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted hashes of the different word shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    hashes = np.array([known[w] for w in words], np.uint64)
+    span = min(width, len(words))
+    total, out = len(words) - span + 1, np.full(len(words) - span + 1, span, np.uint64)
+    for k in range(span):
+        out = out * np.uint64(_FACTOR) + hashes[k : k + total]
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return np.unique(out.view(np.int64))
+
+
+def _name(found: np.ndarray) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED))))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+
+
+def _front(found: np.ndarray, late: np.ndarray | None) -> np.ndarray:
+    if late is not None and len(found):
+        place = found & (BITS - 1)
+        found = found[np.argsort(late[place >> 3] >> (place & 7).astype(np.uint8) & 1, kind="stable")]
+    return found[: len(found) // 5 + 1]
+
+
+def _fronts(late: Broadcast | None) -> Callable[[list[str | None]], list]:
+    def run(texts: list[str | None]) -> list:
+        sets = [shingles(t) for t in texts]
+        return [[_name(s) for s in sets], [len(s) for s in sets], _lists([_front(s, late and late.value) for s in sets])]
+
+    return run
+
+
+def _wholes(texts: list[str | None]) -> list:
+    sets = [shingles(t) for t in texts]
+    return [[_name(s) for s in sets], _lists(sets)]
+
+
+_SET, _LIST = T.StructField("node", T.LongType()), T.ArrayType(T.LongType())
+
+
+def _wholes_of(texts: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, all): the whole sets of the given nodes."""
+    wanted = common.cut(prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th"))
+    found = common.per_text(texts.join(wanted, "th", "left_semi"), lambda: _wholes, [_SET, T.StructField("all", _LIST)], "th", "text")
+    return common.cut(found.groupBy("node").agg(F.first("all").alias("all")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """(src, dst): the pairs (x, y) of a similarity of at least 0.8."""
+    pairs = common.cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    both = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    wholes = _wholes_of(texts, prints, both)
+    left = wholes.select(F.col("node").alias("x"), F.col("all").alias("p"))
+    right = wholes.select(F.col("node").alias("y"), F.col("all").alias("q"))
+    joined = pairs.join(left, "x").join(right, "y").select("x", "y", (F.size("p") + F.size("q")).alias("n"), F.size(F.array_intersect("p", "q")).alias("same"))
+    return common.cut(joined.filter("9 * same >= 4 * n").select(F.col("x").alias("src"), F.col("y").alias("dst")))
+
+
+def _late(df: DataFrame, prints: Callable[[Broadcast | None], DataFrame]) -> Broadcast:
+    """A bitmap of the shingles that many fronts share: those of the first order, then those of the order without them."""
+    bits, known = np.zeros(BITS // 8, np.uint8), None
+    for _ in range(2):
+        keys = prints(known).select(F.explode("front").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > OFTEN)
+        places = keys.select(F.col("key").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("p")).distinct().toArrow().column(0).to_numpy()
+        np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+        known = df.sparkSession.sparkContext.broadcast(bits.copy())
+    return known
+
+
+def _alike(a: str, b: str) -> Column:
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
+def _hopeful(pairs: DataFrame, unknown: Column) -> DataFrame:
+    """(x, y) of rows (x, x_n, y, y_n), one for each shared shingle of the fronts; unknown: others that they may share.
+
+    Up to the front that ends first, the common part is what both fronts have; beyond it lie n less
+    its length of that set. So 9 * (common + beyond) >= 4 * (x_n + y_n) holds for every link.
+    """
+    beyond = lambda n: F.col(n) - F.floor(F.col(n) / 5) - 1
+    shared = pairs.groupBy("x", "x_n", "y", "y_n").agg((F.count("*") + F.min(unknown)).alias("c"))
+    return shared.filter(9 * (F.col("c") + F.greatest(beyond("x_n"), beyond("y_n"))) >= 4 * (F.col("x_n") + F.col("y_n"))).select("x", "y")
+
+
+def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """(src, dst): edges that connect all nodes that links connect. texts: th, text; prints: th, node, n, front."""
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("front").alias("front"))
+    rows = nodes.select(F.posexplode("front").alias("i", "key"), "node", "n").select("key", "node", "n", "i")
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    rows = common.cut(rows.join(shared, "key", "left_semi"))
+    sizes = common.cut(rows.groupBy("key").agg(F.count("*").alias("c")))
+    crowd = common.cut(rows.join(sizes.filter(F.col("c") > CROWD).select("key"), "key", "left_semi"))
+    hidden = crowd.groupBy("node").agg(F.count("*").alias("h"))
+    small = rows.join(sizes.filter(F.col("c") <= CROWD).select("key"), "key", "left_semi").join(hidden, "node", "left").select("key", F.struct("node", "n", F.coalesce("h", F.lit(0)).alias("h")).alias("m"))
+    lists = small.groupBy("key").agg(F.collect_list("m").alias("m"))
+    few = lists.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).filter("a.node < b.node")
+    few = few.select(F.col("a.node").alias("x"), F.col("a.n").alias("x_n"), F.col("b.node").alias("y"), F.col("b.n").alias("y_n"), F.least("a.h", "b.h").alias("h")).filter(_alike("x_n", "y_n"))
+    found = _verified(_hopeful(few, F.col("h")), texts, prints)
+    if crowd.isEmpty():
+        return found
+    for k in range(ROUNDS):
+        # a few leaders for all shingles, so that a group of copies meets the same ones
+        # the first ones are those with the least of their own before the shingle: they are nearest to what a group has in common
+        draw = F.struct((F.col("i") / F.col("n") if k == 0 else F.lit(0.0)).alias("i"), F.xxhash64("node", F.col("key").bitwiseAND(F.lit(3)), F.lit(k)).alias("d"))
+        leaders = crowd.groupBy("key").agg(F.min_by(F.struct("node", "n"), draw).alias("l")).select("key", F.col("l.node").alias("y"), F.col("l.n").alias("y_n"))
+        stars = crowd.join(common.cut(leaders), "key").filter("node <> y").filter(_alike("n", "y_n")).select(F.col("node").alias("x"), "y")
+        found = found.unionByName(_verified(stars, texts, prints))
+        roots = common.cut(components(found))
+        placed = common.cut(crowd.join(roots, "node", "left").select("key", "node", "n", "i", F.coalesce("root", "node").alias("root")))
+        open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        placed = common.cut(placed.join(open_keys, "key", "left_semi"))
+        crowd = placed.select("key", "node", "n", "i")
+    # sets of different components share no shingle whose sets are all in one component, and pairs that share a small
+    # one have been seen; so of what stands before a shared shingle only these can be common, and the rest is lost
+    before = F.row_number().over(Window.partitionBy("node").orderBy("i")) - 1
+    placed = placed.withColumn("most", F.col("n") - F.col("i") + before).filter("5 * most >= 4 * n")
+    mine, other = (placed.select("key", F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("root").alias(f"{c}_root"), F.col("most").alias(f"{c}_most")) for c in "xy")
+    within = 9 * F.least("x_most", "y_most") >= 4 * (F.col("x_n") + F.col("y_n"))
+    across = common.cut(mine).join(common.cut(other), "key").filter("x_root < y_root").filter(_alike("x_n", "y_n") & within).select("x", "x_n", "y", "y_n")
+    return found.unionByName(_verified(_hopeful(across, F.lit(0)), texts, prints))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, th: xxhash64 of the text, node: hash of the set, component_id: the smallest id that links reach)."""
+    texts = df.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    keyed = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("k"), F.col(text_col).alias("text"))
+    fields = [_SET, T.StructField("n", T.LongType()), T.StructField("front", _LIST)]
+    run = lambda late: common.per_text(keyed, lambda: _fronts(late), fields, "k", "text").select("k.id", "k.th", "node", "n", "front")
+    prints = common.cut(run(_late(df, run)))
+    roots = components(links(texts, prints))
+    lows = prints.groupBy("node").agg(F.min("id").alias("low"))
+    named = common.cut(lows.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
+    best = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    names = common.cut(named.join(best, "root").select("node", "component_id"))
+    return prints.select(F.col("id").alias(id_col), "th", "node").join(names, "node").select(id_col, "th", "node", "component_id")
