@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import search
 from ..sources.collection import table
 from .registry import query
@@ -14,3 +15,13 @@ SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL""")
 def x1_postings_all(spark, sf_dir):
     """Every term of every document, in any language."""
     return search.postings(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "term", "tf")
+
+
+@query("SELECT doc_id, md5(upper(translate(text, 'áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑß', 'aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN'))) AS plain FROM documents")
+def f3_upper_fold_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.upper(t.fold(F.replace("text", F.lit("ß"), F.lit(""))))).alias("plain"))
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(replace(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), '|', '\\|')), ''), '—') AS cell FROM documents")
+def f33_markdown_cell_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.markdown_cell(F.col("text")).alias("cell"))

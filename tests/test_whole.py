@@ -1,5 +1,7 @@
 """Queries over whole texts and all rows against plain versions."""
 
+import hashlib
+
 import pytest
 
 from dossierflow.plans import QUERIES
@@ -18,3 +20,10 @@ def test_postings_of_all_languages(spark, folder):
     got = {(x["doc_id"], x["term"]): x["tf"] for x in QUERIES["x1_postings_all"](spark, folder).collect()}
     assert {k: n for k, n in got.items() if k[0] == 3} == {(3, "ete"): 2, (3, "2024"): 1, (3, "straße"): 1}
     assert (2, "e" * 600 + "ß") in got
+
+
+def test_whole_texts(spark, folder):
+    cells = {x["doc_id"]: x["cell"] for x in QUERIES["f33_markdown_cell_whole"](spark, folder).collect()}
+    assert cells[7] == "a \\| b c " + "x" * 400 + " end" and cells[14] == "—"
+    plain = {x["doc_id"]: x["plain"] for x in QUERIES["f3_upper_fold_whole"](spark, folder).collect()}
+    assert plain[2] == hashlib.md5(b"E" * 600).hexdigest()
