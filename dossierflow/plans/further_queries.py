@@ -8,7 +8,7 @@ from ..functions import text as t
 from ..operators import ordered, pieces, upkeep
 from ..sources import collection
 from ..sources.collection import FILES_SQL, ITEMS_SQL, PAGES_SQL, table
-from .piece_queries import _key_and_index
+from .piece_queries import _key_and_rest
 from .registry import query
 
 
@@ -142,7 +142,7 @@ def p8_waiting(spark, sf_dir):
 @query()
 def x14_accuracy_report(spark, sf_dir):
     """Pieces of the key and the index matched one to one, then counted: rates of match, type and date, and F1."""
-    key, index = _key_and_index(spark, sf_dir)
+    key, index = _key_and_rest(spark, sf_dir)
     fields = collection.items(spark, sf_dir).groupBy("line").agg(F.min(F.struct("group_key", "start_order", "end_order", "type", "date")).alias("f"))
     of = lambda name, n: fields.select(F.col("line").alias(name), F.col("f.type").alias(f"type{n}"), F.col("f.date").alias(f"date{n}"))
     matched = pieces.matched(key, index).join(of("key_id", 1), "key_id").join(of("index_id", 2), "index_id")

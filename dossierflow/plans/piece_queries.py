@@ -209,10 +209,17 @@ k AS (SELECT line AS key_id, group_key, start_order AS a, end_order + 1 AS b FRO
 n AS (SELECT key_id, index_id, least(b, d) - greatest(a, c) + 1 AS n, b - a + 1 + d - c + 1 AS both_ FROM k JOIN x USING (group_key) WHERE least(b, d) >= greatest(a, c))"""
 
 
-def _key_and_index(spark, sf_dir):
+def _key_and_rest(spark, sf_dir):
+    """One ninth of the pieces as key, all others as index."""
     items = collection.items(spark, sf_dir).groupBy("line").agg(F.min(F.struct("group_key", "start_order", "end_order")).alias("x")).select("line", "x.*")
     key = items.filter(F.col("line") % 9 == 0).select(F.col("line").alias("id"), "group_key", "start_order", (F.col("end_order") + 1).alias("end_order"))
-    return key, items.filter(F.col("line") % 9 == 1).select(F.col("line").alias("id"), "group_key", "start_order", "end_order")
+    return key, items.filter(F.col("line") % 9 != 0).select(F.col("line").alias("id"), "group_key", "start_order", "end_order")
+
+
+def _key_and_index(spark, sf_dir):
+    """The part of them that the SQL of j14 compares."""
+    key, rest = _key_and_rest(spark, sf_dir)
+    return key, rest.filter(F.col("id") % 9 == 1)
 
 
 @query(f"""WITH RECURSIVE {ITEMS_SQL}, {_MATCH_SQL} SELECT key_id, index_id, n / CAST(both_ - n AS DOUBLE) AS score FROM n""")
@@ -226,7 +233,7 @@ def j14_jaccard_pairs(spark, sf_dir):
 @query()
 def j15_greedy_matching(spark, sf_dir):
     """One-to-one, best first; each round needs the last one's result, which plain SQL cannot say."""
-    return pieces.matched(*_key_and_index(spark, sf_dir))
+    return pieces.matched(*_key_and_rest(spark, sf_dir))
 
 
 @query(f"""WITH {PAGES_SQL}, p AS (SELECT file_id, number, CASE WHEN length(text) % 3 = 0 THEN role END AS script FROM pages_),

@@ -27,3 +27,15 @@ def test_whole_texts(spark, folder):
     assert cells[7] == "a \\| b c " + "x" * 400 + " end" and cells[14] == "—"
     plain = {x["doc_id"]: x["plain"] for x in QUERIES["f3_upper_fold_whole"](spark, folder).collect()}
     assert plain[2] == hashlib.md5(b"E" * 600).hexdigest()
+
+
+def test_all_pieces(spark):
+    from dossierflow.plans.piece_queries import _key_and_rest
+    from dossierflow.sources import collection
+
+    items = collection.items(spark, SMOKE)
+    key, index = _key_and_rest(spark, SMOKE)
+    assert key.count() + index.count() == items.select("line").distinct().count()
+    report = QUERIES["x14_accuracy_report"](spark, SMOKE).first()
+    assert report["key_pieces"] + report["index_pieces"] == items.select("line").distinct().count()
+    assert QUERIES["j11_interval_containment_all"](spark, SMOKE).count() == items.select("group_key", "start_order", "end_order").distinct().count()
