@@ -52,3 +52,48 @@ def test_frames(spark):
     assert [r["spans"] for r in got] == ["email:5:13", "", "", "email:5:13"]
     assert [r["text"] for r in pii.mask(df).collect()] == ["mail <EMAIL>", None, "", "mail <EMAIL>"]
     assert pii.find(df.limit(0)).count() == 0
+
+
+def tagged(tags):
+    """(kind, start, end) of each tagged span."""
+    edges = [i for i, t in enumerate(tags) if t % 2] + [len(tags)]
+    return [(pii.KINDS[tags[a] // 2], a, next((i for i in range(a + 1, b) if tags[i] != tags[a] + 1), b)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def test_recall_and_precision_on_sentences_that_were_not_learned_from():
+    run, r = pii.finder(pii.trained()), random.Random(2024)
+    wanted, hit, false = ({k: 0 for k in pii.KINDS} for _ in range(3))
+    for n in range(400):
+        text, tags = pii.example(r, pii.WINDOW if n % 8 else 4 * pii.WINDOW)
+        want = [s for s in tagged(tags.tolist()) if s[2] < len(text)]
+        base, every = run([text])[0]
+        for s in want:
+            if not any(b[1] < s[2] and s[1] < b[2] for b in base):
+                wanted[s[0]] += 1
+                hit[s[0]] += s in every
+        for s in set(every) - set(base):
+            false[s[0]] += s[2] < len(text) and s not in want
+    for k in pii.KINDS:
+        assert wanted[k] > 50 and hit[k] >= 0.9 * wanted[k] and false[k] <= 0.1 * wanted[k], (k, hit, wanted, false)
+
+
+def test_spans_of_any_length_and_very_long_texts():
+    run, r = pii.finder(pii.trained()), random.Random(5)
+    for n in (5, 40, 63, 64, 65, 100, 300, 1000):
+        name = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        text = f"write to {name} [at] host [dot] com now"
+        assert run([text])[0][1] == [("email", 9, 9 + n + 20)], n
+    filler = "plain words without numbers " * 40_000
+    text = filler + "ring (555) 123-4567 soon " + filler
+    assert run([text, "x" * 200_000])[0][1] == [("phone", len(filler) + 5, len(filler) + 19)]
+
+
+def test_training_learns_the_generators_spans(monkeypatch):
+    monkeypatch.setattr(pii, "EXAMPLES", ((pii.WINDOW, 480),))
+    monkeypatch.setattr(pii, "EPOCHS", 5)
+    model = pii.fitted()
+    assert {k: v.shape for k, v in model.items()} == {k: v.shape for k, v in pii.trained().items()}
+    made = [pii.example(random.Random(k)) for k in range(40)]
+    tags = pii.decode(model, pii.np.stack([pii.classes(t) for t, _ in made]).T).T
+    right = sum((a == b).sum() for a, (_, b) in zip(tags, made, strict=True))
+    assert right > 0.75 * 40 * pii.WINDOW
