@@ -2,13 +2,17 @@
 
 Each text gives a vector of transformed counts (lengths, shares, repetition, layout). For each
 class of labels.quality the mean and the covariance, shrunk towards its diagonal and the pooled
-covariance, are fitted on at most SAMPLE labelled rows that are not held out (those with the
-smallest hash of their id). The score is the logistic of the difference of the two classes'
-log densities, from Mahalanobis distances through Cholesky factors that are computed once.
-
-Nulls: a null text counts as empty and is scored like one; a null label is not learned from.
-A doc_id with several labels is learned from once for each. Without rows of both classes every
-score is 0.5. Repeated rows get equal scores; an empty table gives an empty result.
+covariance, are fitted on at most SAMPLE different labelled rows that are not held out (those
+with the smallest hashes of id and text); only their statistics reach the driver. The score is the
+logistic of the difference of the two classes' log densities, from Mahalanobis distances through
+Cholesky factors that are computed once. Statistics of one text are no independent Gaussians, so
+raw differences are overconfident: they are multiplied by the one of TEMPERS with the least log
+loss on a part of the sample that a first fit on the rest has not seen.
+
+Every text is read whole, however long. Nulls: a null text counts as empty and is scored like one;
+a null id is scored (with held_out false) but not learned from, as is a null label. A doc_id with
+several labels is learned from once for each. Without rows of both classes every score is 0.5.
+Repeated rows get equal scores and count once in learning; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from . import common
 SAMPLE = 20_000
 SHRINK_DIAGONAL, SHRINK_POOLED = 0.1, 0.1
 FLOOR = 1e-3
-#: Log densities are compared with this weight, so that scores are not all 0 or 1.
-TEMPER = 0.25
+#: Weights that the difference of log densities can have.
+TEMPERS = (1.0, 0.5, 0.25, 0.125, 0.0625)
 
 _CLASS = np.zeros((256, 7), np.int64)
 for _b in range(256):
@@ -71,11 +75,31 @@ class Discriminant:
             factor = np.linalg.cholesky(mixed)
             self.factors.append(np.linalg.inv(factor))  # triangular; distances are then one product
             self.offsets.append(float(np.log(share[k]) - np.log(np.diag(factor)).sum()))
+        self.temper = 1.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def difference(self, x: np.ndarray) -> np.ndarray:
+        """Log density of class 1 less that of class 0."""
         z = (x - self.centre) / self.scale
         log = [self.offsets[k] - 0.5 * (((z - self.means[k]) @ self.factors[k].T) ** 2).sum(axis=1) for k in (0, 1)]
-        return 1 / (1 + np.exp(-np.clip(TEMPER * (log[1] - log[0]), -500, 500)))
+        return log[1] - log[0]
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.temper * self.difference(x), -500, 500)))
+
+
+def _both(y: np.ndarray) -> bool:
+    return len(np.unique(y)) == 2
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> Discriminant | None:
+    """The discriminant of all rows; every third row chooses the temper of a fit on the others."""
+    if not _both(y):
+        return None
+    model, aside = Discriminant(x, y), np.arange(len(y)) % 3 == 0
+    if _both(y[~aside]) and aside.any():
+        d = np.where(y[aside] == 1, 1, -1) * Discriminant(x[~aside], y[~aside]).difference(x[aside])
+        model.temper = min(TEMPERS, key=lambda t: np.logaddexp(0, -t * d).mean())
+    return model
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Discriminant | None:
@@ -85,13 +109,17 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Discr
         .select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"), order.alias("o"))
         .distinct().orderBy("o", "id", "quality").limit(SAMPLE)
     )
-    ids = chosen.select("id").distinct()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi")
-    found = common.per_text(texts, lambda: lambda t: [[statistics(x) for x in t]], [T.StructField("v", T.ArrayType(T.DoubleType()))], "id", "text")
-    rows = found.join(chosen, "id").select("o", "id", "quality", "v").collect()  # at most SAMPLE vectors
-    rows.sort(key=lambda r: (r["o"], str(r["id"]), r["quality"], r["v"]))
-    y = np.array([r["quality"] for r in rows])
-    return Discriminant(np.array([r["v"] for r in rows]), y) if len(set(y.tolist())) == 2 else None
+    # at most SAMPLE ids are broadcast; an id may stand in any number of rows, so their different texts are drawn again
+    named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
+    named = named.withColumn("th", F.xxhash64("text"))
+    drawn = named.select("id", "th").distinct().join(chosen, "id").orderBy("o", "id", "quality", "th").limit(SAMPLE)
+    drawn = common.cut(drawn)
+    texts = named.join(F.broadcast(drawn.select("id", "th").distinct()), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("text").alias("text"))
+    keyed = texts.select(F.struct("id", "th").alias("k"), "text")
+    found = common.per_text(keyed, lambda: lambda t: [[statistics(x) for x in t]], [T.StructField("v", T.ArrayType(T.DoubleType()))], "k", "text")
+    rows = found.select("k.id", "k.th", "v").join(drawn, ["id", "th"]).select("o", "id", "th", "quality", "v").collect()  # at most SAMPLE vectors
+    rows.sort(key=lambda r: (r["o"], str(r["id"]), r["th"], r["quality"]))
+    return fit(np.array([r["v"] for r in rows]).reshape(-1, N_FEATURES), np.array([r["quality"] for r in rows], np.int64))
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from .common import fold, table
 
 def _with_fold(df: DataFrame) -> DataFrame:
     """held_out after doc_id: whether the row is kept from learning."""
-    return df.select("doc_id", (fold("doc_id") == 1).alias("held_out"), *df.columns[1:])
+    return df.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), *df.columns[1:])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
