@@ -8,14 +8,25 @@ as many tasks as its rows need.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shared_folder(df: DataFrame) -> None:
+def shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder that the cluster names.
+
+    Where none is named, a single machine uses a temporary folder of its own; a cluster gets an
+    error, since each executor would write to a disk that is lost with it.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/dossierflow")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def blocked(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:

@@ -24,3 +24,9 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_works_without_a_library_that_only_the_text_operators_need():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert int(out.stdout.strip().split("\n")[-1]) > 100
