@@ -6,6 +6,10 @@ each word the pair of lowest rank is merged (all its places from the left, or on
 where the merged symbol is also part of a pair of lower rank, so that the order of merges is
 that of one-at-a-time merging). Encoded words are kept for the rest of the task, up to a bound.
 
+Rounds cost the length of a word times their number. A word of more than LONG bytes (a stretch
+without spaces, such as Han or base64) would make that a square, so its pairs go through a heap
+ordered by rank and place: near linear, the same merges in the same order.
+
 The vocabulary is a tokenizer file of the installed library (a parameter, read on the driver
 and sent along). Its normaliser (NFC, lower case), its split pattern, its word suffix and its
 special tokens are followed; truncation and padding are not used. A null text encodes as an
@@ -15,6 +19,7 @@ empty one. Repeated rows get equal results; an empty table gives an empty result
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -26,8 +31,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Words that a task keeps encoded.
-KEPT = 300_000
+#: Words that a task keeps encoded, and bytes that they may have in all.
+KEPT, KEPT_BYTES = 300_000, 64_000_000
+#: Longer words (bytes) are merged with a heap.
+LONG = 512
 BATCH_WORDS = 50_000
 
 FIELDS = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
@@ -42,6 +49,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+def symbols_at(symbols: list[int], places: np.ndarray) -> list[int]:
+    return [symbols[i] for i in places.tolist()]
+
+
 class Tokenizer:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -74,6 +85,51 @@ class Tokenizer:
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Token ids of each word (not empty)."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
+        out = [np.empty(0, np.int64) if len(r) <= LONG else self._encode_long(r) for r in raw]
+        for i, ids in zip(short, self._encode_short([raw[i] for i in short]), strict=True):
+            out[i] = ids
+        return out
+
+    def _encode_long(self, raw: bytes) -> np.ndarray:
+        """One word by a heap of (rank, place) over a chain of symbols; entries whose symbols have changed are passed over."""
+        start = self.inner[np.frombuffer(raw, np.uint8)]
+        start[-1] = self.final[raw[-1]]
+        pair = start[:-1] * self.size + start[1:]
+        place = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        known = np.flatnonzero(self.keys[place] == pair)
+        symbols, n = start.tolist(), len(start)
+        heap = list(zip(self.rank[place[known]].tolist(), known.tolist(), symbols_at(symbols, known), symbols_at(symbols, known + 1), self.made[place[known]].tolist(), strict=True))
+        heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        seen: dict[int, tuple[int, int] | None] = {}
+
+        def offer(i: int, j: int) -> None:
+            key = symbols[i] * self.size + symbols[j]
+            if key not in seen:
+                at = int(np.searchsorted(self.keys, key))
+                seen[key] = (int(self.rank[at]), int(self.made[at])) if at < len(self.keys) and self.keys[at] == key else None
+            if found := seen[key]:
+                heapq.heappush(heap, (found[0], i, symbols[i], symbols[j], found[1]))
+
+        while heap:
+            _, i, left, right, made = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != left or j >= n or symbols[j] != right:
+                continue
+            symbols[i], symbols[j] = made, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return np.array([x for x in symbols if x >= 0], np.int64)
+
+    def _encode_short(self, raw: list[bytes]) -> list[np.ndarray]:
+        words = raw
+        if not raw:
+            return []
         flat = np.frombuffer(b"".join(raw), np.uint8)
         lengths = np.array([len(r) for r in raw])
         word = np.repeat(np.arange(len(words)), lengths)
@@ -186,10 +242,13 @@ def encoder(tokenizer: Tokenizer, digest: bool = False):
     """
     split, names = tokenizer.splitter(), tokenizer.names
     known: dict[str, tuple[int, bytes, bytes]] = {}
+    held = 0
 
     def learn(stretches: set[str]) -> None:
-        if len(known) + len(stretches) > KEPT:
+        nonlocal held
+        if len(known) + len(stretches) > KEPT or held > KEPT_BYTES:
             known.clear()
+            held = 0
         new = sorted(w for w in stretches if w not in known)
         for i in range(0, len(new), BATCH_WORDS):
             parts = [split(w) for w in new[i : i + BATCH_WORDS]]
@@ -198,6 +257,7 @@ def encoder(tokenizer: Tokenizer, digest: bool = False):
             for w, p in zip(new[i : i + BATCH_WORDS], parts, strict=True):
                 ids = [k for x in p for k in (codes[x] if isinstance(x, str) else [x])]
                 known[w] = (len(ids), " ".join(map(str, ids)).encode(), " ".join(names[k] for k in ids).encode("utf-8"))
+                held += 4 * len(w) + 2 * len(known[w][1])
 
     def run(texts: list[str | None]) -> list[list]:
         counts, ids, decoded = [], [], []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import binascii
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.ordered import shared_folder
+
 #: Texts are handed to an operator's function in slices of about this many bytes.
 SLICE_BYTES = 4_000_000
 
@@ -63,20 +66,28 @@ def per_text(
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a default of our own only where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/dossierflow")
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
+    shared_folder(df)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, which free removes."""
+    path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes tables that stored wrote and that nothing reads any more."""
+    for df in tables:
+        jvm, folder = df.sparkSession._jvm, df.inputFiles()
+        if folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder[0].rsplit("/", 1)[0])
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def fold(column: str | F.Column = "doc_id") -> F.Column:
     """crc32 of the id as text, modulo 3; rows with 1 are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3 if isinstance(column, str) else F.crc32(column.cast("string").cast("binary")) % 3

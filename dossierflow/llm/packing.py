@@ -10,12 +10,16 @@ which bits all its bins have, so a run in which every bin conflicts is stepped o
 A text of more words than a bin has is cut into pieces; full pieces fill a bin each, and the
 rest is packed like any other text.
 
-Texts are dealt to shards of about SHARD rows by a hash of their id, so a hot source or
-cluster spreads over all shards; only ids, lengths, sources and hashes move, never texts.
+Equal rows are counted first, and each copy is dealt to one of the shards of about SHARD rows by a
+hash of all its columns and its number, so a hot source, cluster, id or repeated row spreads over
+all shards; only ids, lengths, sources and hashes move, never texts.
 
 Nulls: a null text or one without words takes no room: one row with piece 0, 0 words and a null
 bin. A null source or cluster conflicts with nothing. Ties in length go by id, then by hash of
-the text; repeated rows are packed as often as they occur. An empty table gives an empty result.
+the text; repeated rows are packed as often as they occur. A very long text has as many pieces as
+it needs. An empty table gives an empty result; other columns are not read.
+
+`sequences` gives the packed text itself: one row for each bin.
 """
 
 from __future__ import annotations
@@ -113,17 +117,22 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list
 
 
 def best_fit(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = CAPACITY
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = CAPACITY,
+    size_col: str | None = None,
+) -> DataFrame:
     """(id, piece, start_word, n_words, bin_id, offset) of each piece of each text.
 
-    Without cluster_col the cluster of a text is the hash of the whole text: exact copies.
+    Without cluster_col the cluster of a text is the hash of the whole text: exact copies. Sizes are
+    words; with size_col they are the numbers in that column, such as counts of tokens.
     """
     cluster = F.col(cluster_col) if cluster_col else F.xxhash64(text_col)
     rows = df.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), cluster.cast("string").alias("cluster"), F.xxhash64(text_col).alias("th"),
-        F.coalesce(F.regexp_count(text_col, F.lit(r"\S+")), F.lit(0)).cast("long").alias("n"),
+        (F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)) if size_col else F.coalesce(F.regexp_count(text_col, F.lit(r"\S+")), F.lit(0))).cast("long").alias("n"),
     )
+    keys = ["id", "source", "cluster", "th", "n"]
+    copies = rows.groupBy(*keys).agg(F.count("*").alias("times"))
+    rows = copies.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
     shards = max(1, math.ceil(df.select(id_col).count() / SHARD))
     schema = T.StructType([
         T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("piece", "start_word", "n_words", "bin_id", "offset")),
@@ -148,4 +157,17 @@ def best_fit(
         found = pd.DataFrame(out, columns=schema.names)
         return found.astype({c: "Int64" for c in schema.names[1:]})
 
-    return rows.withColumn("shard", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(shards))).groupBy("shard").applyInPandas(run, schema)
+    return rows.withColumn("shard", F.pmod(F.xxhash64(F.col("id").cast("string"), "source", "cluster", "th", "copy"), F.lit(shards))).groupBy("shard").applyInPandas(run, schema)
+
+
+def sequences(df: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bin_id, text, n_words): the words of each bin's pieces in the order of their offsets, pieces apart by blank lines.
+
+    placed: from best_fit over a df whose ids are not null and do not repeat. A bin holds at most
+    the capacity in words, so the list of its pieces is bounded.
+    """
+    words = F.filter(F.split(text_col, r"\s+"), lambda w: w != "")
+    texts = df.select(F.col(id_col).alias(id_col), words.alias("__w"))
+    pieces = placed.filter("bin_id is not null").join(texts, id_col).select("bin_id", "offset", "n_words", F.array_join(F.slice("__w", F.col("start_word") + 1, F.col("n_words")), " ").alias("t"))
+    lists = pieces.groupBy("bin_id").agg(F.array_sort(F.collect_list(F.struct("offset", "t"))).alias("p"), F.sum("n_words").alias("n_words"))
+    return lists.select("bin_id", F.array_join("p.t", "\n\n").alias("text"), "n_words")

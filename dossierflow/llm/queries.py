@@ -20,7 +20,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    """Near-duplicates are the clusters: texts of one group never share a bin."""
+    size = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), extra={"source": F.col("source"), "size": size, "th": F.xxhash64("text").cast("string")})
+    # the hash of a text stands for it: only ties in length need it
+    return packing.best_fit(groups, text_col="th", cluster_col="component_id", size_col="size")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

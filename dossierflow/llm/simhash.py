@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,32 +203,40 @@ def forest(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, for every node of an edge (src, dst).
 
-    Alternates large-star and small-star rounds until nothing changes; each round is a few
-    aggregations by node and is checkpointed.
+    Alternates large-star and small-star rounds until nothing changes. A round's smallest neighbours
+    are aggregates with one row a node; they are written before the join with the edges, so that a
+    hub's edges are a skewed side that Spark splits. Each round's tables go when the next are written.
     """
-    pairs = common.cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    pairs = common.stored(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        after = common.cut(small)
-        if pairs.count() == after.count() and after.join(pairs, ["u", "v"], "left_anti").isEmpty():
+        low = common.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = common.stored(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = common.stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        star = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        after = common.stored(large.join(least, "u").select(F.explode(star).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        done = pairs.count() == after.count() and after.join(pairs, ["u", "v"], "left_anti").isEmpty()
+        common.free(low, large, least, *([after] if done else [pairs]))
+        if done:
             break
         pairs = after
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id_col, fingerprint as 16 hexadecimal digits, component_id: the smallest id that links reach)."""
-    prints = common.cut(fingerprints(df, id_col, text_col, width))
-    nodes = common.cut(prints.groupBy("fp").agg(F.min(id_col).alias("low")))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(id_col, fingerprint as 16 hexadecimal digits, component_id: the smallest id that links reach).
+
+    extra: further columns of the result, named expressions over the row that a document comes from.
+    """
+    extra = extra or {}
+    keyed = df.select(F.struct(F.col(id_col).alias("id"), *[c.alias(k) for k, c in extra.items()]).alias("k"), F.col(text_col).alias("t"))
+    prints = common.cut(fingerprints(keyed, "k", "t", width).select("k.*", "fp"))
+    nodes = common.cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
     roots = components(forest(nodes.select("fp")))
     linked = nodes.join(roots, nodes["fp"] == roots["node"])
     best = linked.groupBy("root").agg(F.min("low").alias("best"))
     of = linked.join(best, "root").select("fp", F.col("best"))
     # written first: a join of two plain shuffles is one whose hot partitions Spark can split
     names = common.cut(nodes.join(of, "fp", "left").select("fp", F.coalesce("best", "low").alias("component_id")))
-    return prints.join(names, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *extra)

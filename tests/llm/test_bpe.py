@@ -49,3 +49,16 @@ def test_frames(spark):
     assert rows[0]["ids"] == rows[3]["ids"] and rows[1]["ids"] == [] and rows[1]["decoded"] == ""
     assert [r["decoded"] for r in bpe.decode(out.drop("decoded"), PATH).collect()] == [r["decoded"] for r in rows]
     assert bpe.encode_digests(df.limit(0), PATH).count() == 0
+
+
+def test_long_words_match_the_library_and_cost_in_proportion(library):
+    import time
+
+    r, run = random.Random(12), bpe.encoder(bpe.Tokenizer(PATH))
+    for letters in ("etaoinshrdlu", "ab", "a", "漢字日本語", "QWxhZGRpbjpv0123+/"):
+        for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 20_000):
+            word = "".join(r.choice(letters) for _ in range(n))
+            assert run([word])[0][0] == library.encode(word, add_special_tokens=False).ids
+    start = time.process_time()
+    run(["".join(r.choice("etaoinshrdlu") for _ in range(400_000))])
+    assert time.process_time() - start < 20

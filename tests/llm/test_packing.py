@@ -56,3 +56,42 @@ def test_no_conflict_no_overflow_every_word_once(spark):
         texts = [text_of[p["doc_id"]] for p in pieces if p["doc_id"] in text_of]
         assert len(texts) == len(set(texts))
     assert packing.best_fit(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_null_ids_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 100)
+    rows = [(None, "same words", "s")] * 400 + [(7, "other words here", None)] * 300
+    out = packing.best_fit(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=50).collect()
+    assert len(out) == 700 and sum(p["doc_id"] == 7 for p in out) == 300
+    assert len({p["bin_id"] >> 32 for p in out}) >= 6
+
+
+def test_long_texts_token_sizes_fill_and_sequences(spark):
+    r = random.Random(2)
+    rows = [(k, " ".join(f"w{k}" for _ in range(r.randint(1, 120))), f"s{k}") for k in range(400)] + [(1000, " ".join(["long"] * 50_000), "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = packing.best_fit(df, capacity=128)
+    out = placed.collect()
+    assert sum(p["n_words"] for p in out if p["doc_id"] == 1000) == 50_000
+    used = sum(p["n_words"] for p in out)
+    assert used > 0.95 * 128 * len({p["bin_id"] for p in out})  # sources differ, so bins fill
+    text = {x["bin_id"]: x["text"] for x in packing.sequences(df, placed).collect()}
+    want = {}
+    for p in sorted(out, key=lambda p: p["offset"]):
+        words = dict((k, t) for k, t, _ in rows)[p["doc_id"]].split()
+        want.setdefault(p["bin_id"], []).append(" ".join(words[p["start_word"] : p["start_word"] + p["n_words"]]))
+    assert text == {b: "\n\n".join(t) for b, t in want.items()}
+    tokens = packing.best_fit(df.selectExpr("*", "doc_id % 7 * 10 as tokens"), capacity=128, size_col="tokens").collect()
+    assert sum(p["n_words"] for p in tokens) == sum(k % 7 * 10 for k, *_ in rows)
+
+
+def test_query_keeps_near_duplicates_apart(spark, tmp_path):
+    from dossierflow.llm import queries, simhash
+
+    base = " ".join(f"word{k}" for k in range(300))
+    rows = [(k, base if k % 2 else base + " tail", "en", f"s{k}", 0) for k in range(6)] + [(9, None, None, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size int").write.parquet(str(tmp_path / "documents.parquet"))
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
+    out = queries.op2_packing(spark, str(tmp_path)).collect()
+    bins = [(p["bin_id"], groups[p["doc_id"]]) for p in out if p["bin_id"] is not None]
+    assert len(out) == 7 and len(bins) == len(set(bins)) == 6 and len(set(groups.values())) == 2
