@@ -3,12 +3,15 @@
 A generalised suffix automaton holds every run of words of every template. A text streams
 through it word by word; the automaton gives, at each word, the longest run of words that ends
 there and that some template has. Long runs are chained, in the order of both text and template,
-into covered template spans; a template whose words are covered to a sufficient share yields its
-label. Words that no template has reset the automaton, so stretches of fewer than LEAST known
-words cannot hold a run and are passed over.
-
-Nulls and empty texts have no words, no labels and score 0. Ties between templates go to the
-label that sorts first; repeated rows get equal results.
+into covered template spans; of runs that overlap, the later one counts from where the earlier one
+ends. A template whose words are covered to a sufficient share yields its label. Words that no
+template has reset the automaton, so stretches of fewer than LEAST known words cannot hold a run
+and are passed over.
+
+Nulls and empty texts have no words, no labels and score 0. A very long text is read whole; a run is
+compared with those before it within the length of its template. Equal chains go to the one that
+starts first; each template gives its own label. Repeated rows get equal results; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,37 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import common
+from .licence_texts import TEMPLATES
 
 #: Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates: public licence notices by label; a parameter of the operator.
-TEMPLATES = {
-    "apache": [
-        "licensed under the apache license version 2 0",
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"
-        " you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed"
-        " to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of"
-        " any kind either express or implied",
-    ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following"
-        " conditions are met",
-        "released under the bsd license",
-    ],
-    "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license", "licensed under cc by 4 0"],
-    "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "gpl": [
-        "this work is licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as"
-        " published by the free software foundation either version 3 of the license or at your option any later version",
-    ],
-    "mit": [
-        "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation"
-        " files the software to deal in the software without restriction including without limitation the rights to use copy modify"
-        " merge publish distribute sublicense and or sell copies of the software",
-    ],
-}
 #: Shortest run of words that counts, widest gap in a chain, and share of a template that gives its label.
 LEAST, GAP, SHARE = 3, 12, 0.75
 
@@ -153,8 +129,9 @@ class Automaton:
                     ps, pt, pn = own[j]
                     if s - ps > GAP + max(self.lengths[template], pn):
                         break
-                    if 0 <= s - (ps + pn) <= GAP and t >= pt + pn:
-                        top = max(top, (best[j][0] + n, best[j][1]), key=lambda x: x[0])
+                    shared = max(0, ps + pn - s, pt + pn - t)
+                    if s - (ps + pn) <= GAP and s > ps and t > pt and shared < n:
+                        top = max(top, (best[j][0] + n - shared, best[j][1]), key=lambda x: x[0])
                 best.append(top)
             out += [(c / self.lengths[template], template, s, own[i][0] + own[i][2]) for i, (c, s) in enumerate(best)]
         return out
