@@ -94,8 +94,12 @@ def test_recall_on_changed_templates_and_clean_texts():
                 total += 1
                 hit += label in scan([text_with])[5][0].split(",")
     assert hit >= 0.95 * total
-    words = [w for texts in licences.TEMPLATES.values() for t in texts for w in t.split() if w != "cc"]  # "cc by" is a base phrase
-    assert scan([" ".join(r.choice(words) for _ in range(3000)) for _ in range(20)])[5] == [""] * 20
+    # 60,000 words drawn from the templates themselves: only a short notice can come about by chance
+    words = [w for texts in licences.TEMPLATES.values() for t in texts for w in t.split()]
+    spans = scan([" ".join(r.choice(words) for _ in range(3000)) for _ in range(20)])[7]
+    assert sum(map(bool, spans)) <= 1
+    plain = "the software and the work that this person made is free for any use by others in the past without fee or warranty of the kind"
+    assert scan([" ".join(r.choice(plain.split()) for _ in range(3000)) for _ in range(20)])[7] == [""] * 20
 
 
 def test_very_long_text():
