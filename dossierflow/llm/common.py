@@ -24,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of bounded text volume (one text is never cut)."""
+    """The same rows in record batches of bounded volume of texts or lists of numbers (one text is never cut)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        values = batch.column(column)
+        sizes = pc.multiply(pc.list_value_length(values), 8) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes = pc.fill_null(sizes, 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > SLICE_BYTES:

@@ -48,16 +48,30 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         return 0
     if len(words) <= width:
         return xxhash.xxh64_intdigest(b" ".join(words), seed=SEED)
-    votes = np.zeros(BITS, np.int64)
     digest, join, total = xxhash.xxh64_intdigest, b" ".join, len(words) - width + 1
+    votes = np.zeros(BITS, np.int64)
     for start in range(0, total, CHUNK):
         part = words[start : start + CHUNK + width - 1]
         shingles = zip(*(part[k:] for k in range(width)), strict=False)
-        hashes = np.array([digest(join(s), SEED) for s in shingles], ">u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        votes += _votes(np.array([digest(join(s), SEED) for s in shingles], np.uint64))
+    return _majority(votes, total)
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _majority(votes: np.ndarray, total: int) -> int:
     return int.from_bytes(np.packbits(2 * votes > total).tobytes(), "big")
 
 
+def voted(hashes: np.ndarray) -> int:
+    """The fingerprint of given 64-bit hashes; zero for none."""
+    parts = [_votes(hashes[k : k + CHUNK].view(np.uint64)) for k in range(0, len(hashes), CHUNK)]
+    return _majority(sum(parts), len(hashes)) if parts else 0
+
+
 def _signed(values: list[int]) -> list[int]:
     return [v - (1 << 64) if v >> 63 else v for v in values]
 
@@ -67,8 +81,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return common.per_text(df, lambda: lambda texts: [_signed([fingerprint(t, width) for t in texts])], [T.StructField("fp", T.LongType())], id_col, text_col)
 
 
-def bk_forest(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """The smallest index that each row reaches by links within its shard.
+def bk_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays (row, row) of links within a shard, each link from both of its ends.
 
     One BK-tree for each shard, all built and searched together. shard: numbers from 0.
     """
@@ -94,9 +108,6 @@ def bk_forest(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.nda
         stay = parent_key[waiting] < 0
         waiting, key = waiting[stay], key[stay]
         at = kids[np.searchsorted(keys, key)]
-    low = np.arange(n)
-    edges_from, edges_to = [], []
-    held = 0
     step = max(1, FRONTIER // 64)
     for start in range(0, n, step):
         query = np.arange(start, min(start + step, n))
@@ -105,21 +116,29 @@ def bk_forest(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.nda
             d = np.bitwise_count(fp[query] ^ fp[node]).astype(np.int64)
             near = (d <= radius) & (query != node)
             if near.any():
-                edges_from.append(query[near])
-                edges_to.append(node[near])
-                held += int(near.sum())
+                yield query[near], node[near]
             begin = np.searchsorted(keys, node * 65 + np.maximum(d - radius, 0))
             stop = np.searchsorted(keys, node * 65 + np.minimum(d + radius, 64), side="right")
             count = stop - begin
             query = np.repeat(query, count)
             node = kids[np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
+
+
+def bk_forest(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """The smallest index that each row reaches by links within its shard."""
+    low = np.arange(len(fp))
+    edges_from, edges_to, held = [], [], 0
+    for query, node in bk_links(shard, fp, radius):
+        edges_from.append(query)
+        edges_to.append(node)
+        held += len(query)
         if held > FRONTIER:
-            low = _merged(low, edges_from, edges_to)
+            low = merged(low, edges_from, edges_to)
             edges_from, edges_to, held = [], [], 0
-    return _merged(low, edges_from, edges_to)
+    return merged(low, edges_from, edges_to)
 
 
-def _merged(low: np.ndarray, edges_from: list[np.ndarray], edges_to: list[np.ndarray]) -> np.ndarray:
+def merged(low: np.ndarray, edges_from: list[np.ndarray], edges_to: list[np.ndarray]) -> np.ndarray:
     """Smallest index of each component, given those so far and more edges."""
     if not edges_from:
         return low

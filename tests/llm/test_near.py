@@ -1,9 +1,9 @@
-"""Near-dedup by shingles against brute-force Jaccard."""
+"""SimHash near-dedup at a similarity against brute-force Jaccard."""
 
 import random
 
 import corpus_pipeline
-from dossierflow.llm import jaccard
+from dossierflow.llm import near
 from dossierflow.llm import simhash
 
 
@@ -39,7 +39,7 @@ def corpus(seed, n, words=120, bases=6):
 
 
 def check(spark, docs):
-    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {x["doc_id"]: x["component_id"] for x in got} == brute(docs)
 
 
@@ -48,7 +48,7 @@ def test_matches_brute_force(spark):
 
 
 def test_matches_brute_force_with_crowded_shingles(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "CROWD", 4)
+    monkeypatch.setattr(near, "CROWD", 4)
     check(spark, corpus(2, 110))
 
 
@@ -70,7 +70,7 @@ def test_near_stage_drops_copies_that_differ_in_many_bits(spark):
 
 
 def test_empty_table_null_ids_and_repeated_rows(spark):
-    assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert near.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (9, "something else here now")]
-    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((x["doc_id"] or -1, x["component_id"]) for x in got) == [(-1, 3), (3, 3), (3, 3), (9, 9)]
