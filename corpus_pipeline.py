@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierflow.llm import common, jaccard, lines, packing, pii, repetition
+from dossierflow.llm import common, lines, near, packing, pii, repetition
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL can express neither suffix arrays nor fingerprints nor the trained tagger.
@@ -35,7 +35,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    groups = jaccard.near_duplicates(docs)
+    groups = near.near_duplicates(docs)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
     return docs.select(COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
 
