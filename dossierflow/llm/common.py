@@ -17,6 +17,8 @@ from ..operators.ordered import shared_folder
 
 #: Texts are handed to an operator's function in slices of about this many bytes.
 SLICE_BYTES = 4_000_000
+#: Places in a bitmap that is broadcast.
+BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +92,28 @@ def free(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def _word(c: F.Column) -> F.Column:
+    return F.shiftright(c, 6).bitwiseAND(F.lit(BITS // 64 - 1)).cast("int")
+
+
+def _bit(c: F.Column) -> F.Column:
+    return c.bitwiseAND(F.lit(63)).cast("int")
+
+
+def perhaps(df: DataFrame, column: str, wanted: DataFrame, flag: str | None = None) -> DataFrame:
+    """Rows of df whose column (a hash) may be in the first column of wanted, or df with that as a column named flag.
+
+    What is broadcast is a bitmap of at most BITS bits, whatever wanted holds: a filter that lets all
+    of wanted pass, to go before an exact join.
+    """
+    name = F.col(wanted.columns[0])
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(name))
+    words = wanted.select(_word(name).alias("__w"), one.alias("__x")).groupBy("__w").agg(F.bit_or("__x").alias("__x"))
+    joined = df.join(F.broadcast(words), _word(F.col(column)) == F.col("__w"), "left" if flag else "inner")
+    there = F.call_function("getbit", F.coalesce("__x", F.lit(0).cast("long")), F.coalesce(_bit(F.col(column)), F.lit(0))) == 1
+    return (joined.withColumn(flag, there) if flag else joined.filter(there)).drop("__w", "__x")
+
+
 def fold(column: str | F.Column = "doc_id") -> F.Column:
     """crc32 of the id as text, modulo 3; rows with 1 are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3 if isinstance(column, str) else F.crc32(column.cast("string").cast("binary")) % 3

@@ -14,9 +14,12 @@ character can be no more than there are characters, so the last step needs no bo
 No step drops a link.
 
 Only DataFrame functions run here. Nulls: a null text stays null and has no lines. Blank lines
-(spaces, tabs, carriage returns, form feeds) always stay. Lines of fewer than MIN_CHARS
-characters are compared exactly. The order is (doc_id, hash of the text, line number), nulls
-first; rows with the same doc_id and text are one document, and each of them is returned.
+(spaces, tabs, carriage returns, form feeds) always stay. Lines of fewer than min_chars
+characters (a parameter; MIN_CHARS = 20 unless given) are compared exactly: one edit in twenty
+characters or fewer often makes another number, name or heading. The order is (doc_id, hash of
+the text, line number), nulls first; rows with the same doc_id and text are one document, and each
+of them is returned. A text of very many lines is cleaned at a cost in proportion to its length.
+Lines are named by 128 bits of hash, segments by 64. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +42,10 @@ _BLANK = " \t\r\x0b\x0c"
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, th (hash of the text), pos, line, a and b (hash of the line): each line that is not blank."""
+    # the hash below the generator: above it, each line would carry and hash the whole text
+    named = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     return (
-        df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+        named.select("id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .filter(F.btrim("line", F.lit(_BLANK)) != "")
         .select("id", "th", "pos", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
     )
@@ -138,53 +143,65 @@ def _linked(crowd: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """(a, b) of different lines that have an earlier line at a distance of one."""
-    long = lines.filter(F.length("line") >= MIN_CHARS)
-    keys = _halves(long.select("a", "b", "line"), "line", False)
-    # keys that different lines share, one of them as its own; equal lines merge before the shuffle
+    """(a, b) of lines that have an earlier line at a distance of one. lines: a, b, first, text, one row for each line."""
+    keys = _halves(lines.select("a", "b", "text"), "text", False)
+    # keys that different lines share, one of them as its own
     shared = keys.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("own").alias("own")).filter("own and low < high").select("key")
-    wanted = common.cut(keys.join(shared, "key", "left_semi").select("key", "a", "b").distinct())
-    texts = long.join(wanted.select("a", "b").distinct(), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.min("line").alias("text"))
-    rows = common.cut(_halves(texts, "text", True).join(wanted, ["key", "a", "b"], "left_semi"))
+    shared = common.stored(shared)
+    wanted = common.stored(common.perhaps(keys, "key", shared).join(shared, "key", "left_semi").select("key", "a", "b").distinct())
+    texts = common.perhaps(lines, "a", wanted.select("a")).join(wanted.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    rows = common.stored(_halves(texts, "text", True).join(wanted, ["key", "a", "b"], "left_semi"))
+    common.free(shared, wanted)
     found = []
     while True:
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.length("mid")).alias("rest"), F.max("own").alias("own")).filter("n > 1 and own")
         bounded = (F.col("n") <= CROWD) | (F.col("rest") <= 2)
-        found.append(common.cut(_linked(rows.join(sizes.filter(bounded), "key", "left_semi"))))
+        found.append(common.stored(_linked(rows.join(sizes.filter(bounded), "key", "left_semi"))))
         crowded = rows.join(sizes.filter(~bounded), "key", "left_semi")
         finer = crowded.select("a", "b", "first", F.explode(_keys(F.col("mid"), PIECES, F.col("key"))).alias("k")).select("a", "b", "first", "k.*")
-        rows = common.cut(finer.groupBy("key", "a", "b").agg(F.max("own").alias("own"), F.min("first").alias("first"), F.min("mid").alias("mid")))
+        before, rows = rows, common.stored(finer.groupBy("key", "a", "b").agg(F.max("own").alias("own"), F.min("first").alias("first"), F.min("mid").alias("mid")))
+        common.free(before)
         if rows.isEmpty():
-            return common.cut(reduce(DataFrame.unionByName, found).distinct())
+            return reduce(DataFrame.unionByName, found).distinct()
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """df with text_col cleaned and three more columns: n_lines, n_removed, emptied.
 
     emptied is true where lines were removed and none that is not blank remains. All other
-    columns of df are kept as they are.
+    columns of df are kept as they are. min_chars: shorter lines are compared exactly; with 1,
+    every line goes that one edit separates from an earlier one.
     """
-    lines = _lines(df, id_col, text_col)
-    near = near_lines(lines)
-    places = lines.select("id", "th", "pos", "a", "b")
-    firsts = places.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("first"))
+    places = _lines(df, id_col, text_col)
+    long = F.when(F.length("line") >= min_chars, F.col("line"))
+    # equal lines merge before the shuffle, so one line that stands everywhere is a row of each task
+    different = common.stored(places.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("first"), F.min(long).alias("text")))
+    near = common.stored(near_lines(different.filter("text is not null").select("a", "b", "first", "text")))
     # written first: a join of two plain shuffles is one whose hot partitions Spark can split
-    decided = common.cut(firsts.join(near.withColumn("near", F.lit(True)), ["a", "b"], "left").filter("n > 1 or near"))
+    decided = common.stored(different.select("a", "b", "n", "first").join(near.withColumn("near", F.lit(True)), ["a", "b"], "left").filter("n > 1 or near"))
     gone = (
-        places.join(decided, ["a", "b"])
+        common.perhaps(places.select("id", "th", "pos", "a", "b"), "a", decided.select("a"))
+        .join(decided, ["a", "b"])
         .filter(F.col("near").isNotNull() | (F.struct("id", "th", "pos") != F.col("first")))
         .groupBy("id", "th")
-        .agg(F.collect_set("pos").alias("__gone"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("__gone"))
         .withColumnsRenamed({"id": "__gone_id", "th": "__gone_th"})
     )
-    whole = df.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text_col)})
-    joined = whole.join(gone.hint("shuffle_hash"), whole["__id"].eqNullSafe(gone["__gone_id"]) & (whole["__th"] == gone["__gone_th"]), "left")
+    gone = common.stored(gone)
+    common.free(different, near)
+    # texts that lose no line stay where they are; only the others meet their places
+    whole = common.perhaps(df.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text_col)}), "__th", gone.select("__gone_th"), "__hit")
     parts = F.split(F.col(text_col), "\n")
-    solid = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(_BLANK)) != ""))
-    stay = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    clean = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    removed = F.coalesce(F.size("__gone"), F.lit(0))
-    n_lines = F.coalesce(F.when(F.col(text_col).isNotNull(), solid), F.lit(0))
-    return joined.withColumns(
-        {"n_lines": n_lines.cast("long"), "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(removed).cast("long"), "emptied": F.col("__gone").isNotNull() & (solid == F.size("__gone")), text_col: clean}
-    ).drop("__id", "__th", "__gone_id", "__gone_th", "__gone")
+    hit, rest = whole.filter("__hit"), whole.filter("not __hit")
+    joined = hit.join(gone.hint("shuffle_hash"), hit["__id"].eqNullSafe(gone["__gone_id"]) & (hit["__th"] == gone["__gone_th"]), "left").drop("__gone_id", "__gone_th")
+    # a flag for each line, built gap by gap and looked up by place: the cost is that of the text
+    starts, ends = F.concat(F.array(F.lit(-1)), "__gone"), F.concat("__gone", F.array(F.size(parts)))
+    flags = F.flatten(F.zip_with(starts, ends, lambda s, e: F.concat(F.array_repeat(F.lit(False), e - s - 1), F.array(F.lit(True)))))
+    flagged = _settled(joined, __f=F.when(F.col("__gone").isNotNull(), flags))
+    stay = F.filter(parts, lambda x, i: ~F.get(F.col("__f"), i))
+    every = flagged.withColumn("__clean", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))).drop("__f")
+    every = every.unionByName(rest.withColumns({"__gone": F.lit(None).cast("array<int>"), "__clean": F.col(text_col)}))
+    solid = F.coalesce(F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(_BLANK)) != "")), F.lit(0))
+    counted = _settled(every, __n=F.when(F.col(text_col).isNotNull(), solid).otherwise(0), __m=F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
+    out = counted.withColumns({"n_lines": F.col("__n").cast("long"), "n_removed": F.col("__m").cast("long"), "emptied": (F.col("__m") > 0) & (F.col("__m") == F.col("__n")), text_col: F.col("__clean")})
+    return out.drop("__id", "__th", "__hit", "__gone", "__clean", "__n", "__m")

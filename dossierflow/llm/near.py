@@ -48,7 +48,7 @@ RADIUS = 28
 CROWD = 32
 #: A shingle of more fronts goes to the end of the order, but no more shingles than a quarter of the places in the bitmap.
 OFTEN = 8
-BITS = 1 << 24
+BITS = common.BITS
 #: Times that the sets under a crowded shingle are compared with leaders.
 ROUNDS = 2
 #: Sets and shingles of a block of a family, about; shingles of the cell's matrix that are multiplied at once.
@@ -157,19 +157,10 @@ def _wholes(texts: list[str | None]) -> list:
 _SET, _LIST = T.StructField("node", T.LongType()), T.ArrayType(T.LongType())
 
 
-def _perhaps(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows of df whose column may be in wanted (one column): a bitmap of at most BITS bits is broadcast, whatever wanted holds."""
-    word = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(BITS // 64 - 1)).cast("int")
-    bit = lambda c: c.bitwiseAND(F.lit(63)).cast("int")
-    name = F.col(wanted.columns[0])
-    words = wanted.select(word(name).alias("__w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(name)).alias("x")).groupBy("__w").agg(F.bit_or("x").alias("__x"))
-    return df.join(F.broadcast(words), word(F.col(column)) == F.col("__w")).filter(F.call_function("getbit", F.col("__x"), bit(F.col(column))) == 1).drop("__w", "__x")
-
-
 def _wholes_of(texts: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, all): the whole sets of the given nodes."""
     wanted = common.stored(prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th"))
-    found = common.per_text(_perhaps(texts, "th", wanted), lambda: _wholes, [_SET, T.StructField("all", _LIST)], "th", "text")
+    found = common.per_text(common.perhaps(texts, "th", wanted), lambda: _wholes, [_SET, T.StructField("all", _LIST)], "th", "text")
     out = common.stored(found.join(wanted, "th", "left_semi").groupBy("node").agg(F.first("all").alias("all")))
     common.free(wanted)
     return out
@@ -283,7 +274,7 @@ def _between_components(placed: DataFrame, nodes: DataFrame, texts: DataFrame, p
 def links(texts: DataFrame, prints: DataFrame, shared: DataFrame) -> DataFrame:
     """(src, dst): edges that connect all nodes that links connect. texts: th, text; prints: th, node, n, fp, front; shared: keys of two fronts or more."""
     nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("front").alias("front"))
-    rows = _perhaps(nodes.select(F.posexplode("front").alias("i", "key"), "node", "n", "fp"), "key", shared).select("key", "node", "n", "fp", "i")
+    rows = common.perhaps(nodes.select(F.posexplode("front").alias("i", "key"), "node", "n", "fp"), "key", shared).select("key", "node", "n", "fp", "i")
     rows = common.stored(rows)
     sizes = common.stored(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     crowd = common.stored(rows.join(sizes.filter(F.col("c") > CROWD).select("key"), "key", "left_semi"))

@@ -15,7 +15,7 @@ def distance_at_most_one(x, y):
     return before[-1] <= 1
 
 
-def expected(docs):
+def expected(docs, min_chars=lines.MIN_CHARS):
     """Text of each document after line dedup, comparing every line with all earlier ones."""
     seen, near, out = set(), [], {}
     for k, text in sorted(docs, key=lambda d: d[0]):
@@ -27,12 +27,12 @@ def expected(docs):
             if not line.strip(" \t\r\x0b\x0c"):
                 kept.append(line)
                 continue
-            close = len(line) >= lines.MIN_CHARS and any(distance_at_most_one(line, o) for o in near if line != o)
+            close = len(line) >= min_chars and any(distance_at_most_one(line, o) for o in near if line != o)
             if line not in seen and not close:
                 kept.append(line)
             if line not in seen:
                 seen.add(line)
-                if len(line) >= lines.MIN_CHARS:
+                if len(line) >= min_chars:
                     near.append(line)
         out[k] = "\n".join(kept)
     return out
@@ -43,9 +43,9 @@ def changed(r, line):
     return r.choice([line[:k] + line[k + 1 :], line[:k] + r.choice("abcé") + line[k:], line[:k] + r.choice("xyz") + line[k + 1 :]])
 
 
-def check(spark, docs):
-    got = lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == expected(docs)
+def check(spark, docs, min_chars=lines.MIN_CHARS):
+    got = lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=min_chars).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == expected(docs, min_chars)
     for r in got:
         n = sum(bool(x.strip(" \t\r\x0b\x0c")) for x in (r["text"] or "").split("\n"))
         assert r["n_lines"] - r["n_removed"] == n and r["emptied"] == (r["n_removed"] > 0 and n == 0)
@@ -79,3 +79,22 @@ def test_empty_table_repeated_rows_and_clashing_names(spark):
     assert {r["id"] for r in got} == {1, 2, None}
     assert sorted((r["doc_id"] or 0, r["text"], r["line"]) for r in got if r["text"] is not None) == [(0, "one line", "y"), (1, "two", "x"), (1, "two", "x")]
     assert len(got) == 4
+
+
+def test_short_lines_where_they_are_asked_for(spark):
+    r = random.Random(7)
+    docs = [(k, "\n".join("".join(r.choice("abé ") for _ in range(r.randrange(1, 24))) for _ in range(4))) for k in range(60)]
+    for least in (1, 5, 19, 20, 21):
+        check(spark, docs, least)
+
+
+def test_a_document_of_very_many_lines(spark):
+    import time
+
+    many = [f"line number {k // 2} of a document that has very many lines" for k in range(400_000)]
+    start = time.time()
+    got = lines.line_dedup(spark.createDataFrame([(1, "\n".join(["same line"] * 600_000)), (2, "\n".join(["same line", "", "own line"]))], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["emptied"]) for r in sorted(got)] == [(1, "same line", 600_000, 599_999, False), (2, "\nown line", 2, 1, False)]
+    places = lines.line_dedup(spark.createDataFrame([(1, "\n".join(many))], "doc_id long, text string"), min_chars=100).collect()[0]
+    assert places["text"].split("\n") == many[::2] and places["n_removed"] == 200_000
+    assert time.time() - start < 120
