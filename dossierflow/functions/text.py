@@ -162,10 +162,11 @@ def author_matches(expected: Column, actual: Column) -> Column:
 
 
 def first_marker(text: Column, markers: dict[str, list[str]], within: int = 200) -> Column:
-    """The type whose marker stands earliest in the first `within` upper-cased characters; ties go to the type listed first."""
+    """The type whose marker stands earliest, as whole words, in the first `within` upper-cased characters; ties go to the type listed first."""
     head = F.upper(F.substring(text, 1, within))
+    at = lambda m: F.regexp_instr(head, F.lit(rf"(?U)\b\Q{m.upper()}\E\b"))
     found = [
-        F.when(F.instr(head, m) > 0, F.struct(F.instr(head, m).alias("at"), F.lit(k).alias("k"), F.lit(name).alias("type")))
+        F.when(at(m) > 0, F.struct(at(m).alias("at"), F.lit(k).alias("k"), F.lit(name).alias("type")))
         for k, (name, m) in enumerate((t, m) for t, ms in markers.items() for m in ms)
     ]
     return F.array_min(F.array_compact(F.array(*found)))["type"]

@@ -73,6 +73,24 @@ def apply_plan(tables: dict[str, DataFrame], stale: DataFrame, key: dict[str, li
     return {name: without(frame, stale, key[name]) if name in key else frame for name, frame in tables.items()}
 
 
+def replaced(spark, frame: DataFrame, path: str) -> None:
+    """The table at path becomes frame, which may be made from it: written beside it first, then renamed into its place.
+
+    A failure before the renames leaves the old table; one between them leaves it under path with .old.
+    """
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    here, new, old = make(path), make(f"{path}.new"), make(f"{path}.old")
+    system = here.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(here) and system.exists(old):
+        system.rename(old, here)
+    frame.write.mode("overwrite").parquet(f"{path}.new")
+    system.delete(old, True)
+    if system.exists(here):
+        system.rename(here, old)
+    system.rename(new, here)
+    system.delete(old, True)
+
+
 def rebuilt_once(spark, path: str, revision: int, build) -> bool:
     """Writes build() to path unless the table there has this revision already; returns whether it built."""
     from pyspark.errors import AnalysisException
@@ -82,5 +100,5 @@ def rebuilt_once(spark, path: str, revision: int, build) -> bool:
             return False
     except AnalysisException:
         pass
-    build().withColumn("revision", F.lit(revision)).write.mode("overwrite").parquet(path)
+    replaced(spark, build().withColumn("revision", F.lit(revision)), path)
     return True

@@ -10,6 +10,7 @@ from ..sources import collection
 from ..sources.collection import FILES_SQL, ITEMS_SQL, PAGES_SQL, SIZES_SQL, table
 from .piece_queries import _SPANS_SQL, _spans
 from .registry import query
+from .text_queries import _place
 
 
 def _window_pages(spark, sf_dir):
@@ -26,9 +27,8 @@ _RULES = rules.Rules(types={"THE": ["THE "], "DER": ["DER "], "QUE": [" QUE "]},
 p AS (SELECT group_key, path, text, row_number() OVER (PARTITION BY group_key ORDER BY file_id, number) AS pos FROM pages_),
 w AS (SELECT s.group_key, s.start_pos, p.pos, p.path AS file, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS first_line, upper(substr(text, 1, 200)) AS h,
     regexp_matches(text, '(?i)scum|worthless') AS protocol, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 10 AS blank FROM spans s JOIN p ON s.group_key = p.group_key AND p.pos BETWEEN s.start_pos AND s.end_pos),
-x AS (SELECT *, CASE WHEN least(coalesce(nullif(instr(h, 'THE '), 0), 999), coalesce(nullif(instr(h, 'DER '), 0), 999), coalesce(nullif(instr(h, ' QUE '), 0), 999)) = 999 THEN NULL
-    WHEN coalesce(nullif(instr(h, 'THE '), 0), 999) <= least(coalesce(nullif(instr(h, 'DER '), 0), 999), coalesce(nullif(instr(h, ' QUE '), 0), 999)) THEN 'THE'
-    WHEN coalesce(nullif(instr(h, 'DER '), 0), 999) <= coalesce(nullif(instr(h, ' QUE '), 0), 999) THEN 'DER' ELSE 'QUE' END AS type FROM w),
+y AS (SELECT *, coalesce({_place('THE ')}, 999) AS a1, coalesce({_place('DER ')}, 999) AS a2, coalesce({_place(' QUE ')}, 999) AS a3 FROM w),
+x AS (SELECT *, CASE WHEN least(a1, a2, a3) = 999 THEN NULL WHEN a1 <= least(a2, a3) THEN 'THE' WHEN a2 <= a3 THEN 'DER' ELSE 'QUE' END AS type FROM y),
 f AS (
     SELECT group_key, start_pos, pos, 1 AS item, type, NOT (type IS NOT NULL OR protocol) AS low, CASE WHEN first_line <> '' THEN first_line END AS header, CASE WHEN first_line <> '' THEN 1 ELSE 0 END AS seen, blank FROM x WHERE pos = start_pos
     UNION ALL

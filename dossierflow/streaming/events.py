@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -35,25 +36,43 @@ def hourly(spark: SparkSession, path: str) -> DataFrame:
     return out.filter(F.col("batch") == last).select("hour", "event_type", "n")
 
 
+#: Share of a new estimate that reaches the reader; seconds and part of the work before there is one.
+SMOOTHING, LEAST_SECONDS, LEAST_PART = 0.35, 4.0, 0.005
+
+
 def progress(stream: DataFrame, tau: float = 45.0, stall: float = 180.0) -> DataFrame:
-    """run, done, rate, stalled: an exponentially weighted rate of each run, updated as (run, at, done) rows arrive.
+    """run, done, rate, remaining, stalled for each run, updated as (run, at, done, total) rows arrive.
 
-    The weight of the past falls with exp(-dt / tau). A pause longer than `stall` seconds starts
-    the estimate anew.
+    An advance is measured from the last advance, not from the last reading: a reading that sees
+    none says nothing about the pace. The rate's memory fades with exp(-seconds / tau); it is blended
+    with the mean since the start, which counts for more the longer the run has gone on. remaining is
+    null until there is something to go by, once all is done, and where nothing has advanced for more
+    than `stall` seconds, which also forgets the rate.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, done, rate = state.get if state.exists else (None, 0.0, 0.0)
-        stalled = False
-        rows = pd.concat(list(frames)).sort_values("at")
-        for row in rows.itertuples():
-            if at is not None and row.at > at:
-                dt = row.at - at
-                stalled = dt > stall
-                keep = 0.0 if stalled else float(pd.Series([-dt / tau]).map(lambda x: 2.718281828459045**x).iloc[0])
-                rate = keep * rate + (1 - keep) * (row.done - done) / dt
-            at, done = float(row.at), float(row.done)
-        state.update((at, done, rate))
-        yield pd.DataFrame({"run": [key[0]], "done": [done], "rate": [rate], "stalled": [stalled]})
-
-    return stream.groupBy("run").applyInPandasWithState(update, "run string, done double, rate double, stalled boolean", "at double, done double, rate double", "update", GroupStateTimeout.NoTimeout)
+        started, moved, done, rate, shown = state.get if state.exists else (None, None, 0.0, None, None)
+        stalled, remaining = False, None
+        for row in pd.concat(list(frames)).sort_values(["at", "done"]).itertuples():
+            at, now_done, total = float(row.at), float(row.done), float(row.total)
+            remaining = None
+            if started is None:
+                started, moved, done = at, at, now_done
+                continue
+            if now_done > done and at > moved:
+                gap = at - moved
+                own, weight = (now_done - done) / gap, 1.0 - math.exp(-gap / tau)
+                rate = own if rate is None else weight * own + (1.0 - weight) * rate
+                moved, done, stalled = at, now_done, False
+            elif at - moved > stall:
+                rate, shown, stalled = None, None, True
+            spent = at - started
+            if rate and spent >= LEAST_SECONDS and total * LEAST_PART <= now_done < total:
+                part = min(0.8, spent / (spent + 4 * tau))
+                estimate = (total - now_done) / (part * now_done / spent + (1.0 - part) * rate)
+                remaining = shown = estimate if shown is None else SMOOTHING * estimate + (1.0 - SMOOTHING) * shown
+        state.update((started, moved, done, rate, shown))
+        yield pd.DataFrame({"run": [key[0]], "done": [done], "rate": pd.Series([rate], dtype="float64"), "remaining": pd.Series([remaining], dtype="float64"), "stalled": [stalled]})
+
+    schema = "run string, done double, rate double, remaining double, stalled boolean"
+    return stream.groupBy("run").applyInPandasWithState(update, schema, "started double, moved double, done double, rate double, shown double", "update", GroupStateTimeout.NoTimeout)
