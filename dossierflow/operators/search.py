@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -57,9 +57,10 @@ def _idf(total: int, n: Column) -> Column:
 
 
 def search(passages: DataFrame, query: str, key: list[str]) -> DataFrame:
-    """key..., score: passages that hold every word, phrase and prefix of the query, best first by BM25.
+    """key..., score by BM25: passages that hold every word, phrase and prefix of the query, in no order.
 
-    Only tokens of the query's terms are ever grouped: the filter stands before the shuffle.
+    For a few searches over passages that have no index: every text is read. `search_index` reads
+    only the query's terms.
     """
     terms = parse(query)
     tokens = t.settled(passages.select(*key, "text"), w=t.words(F.col("text"))).drop("text")
@@ -85,6 +86,48 @@ def search(passages: DataFrame, query: str, key: list[str]) -> DataFrame:
     return found.select(*key, score.alias("score"))
 
 
+def build_index(passages: DataFrame, key: list[str], path: str) -> None:
+    """Writes postings (in folders by the first letter of the term, sorted by term) and the passages' sizes below path."""
+    rows = postings(passages, key)
+    rows.withColumn("letter", F.substring("term", 1, 1)).repartition("letter", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("letter").parquet(f"{path}/postings")
+    sizes = passages.select(F.size(t.words(F.col("text"))).alias("dl"))
+    sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def search_index(spark: SparkSession, path: str, query: str, key: list[str]) -> DataFrame:
+    """key..., score, as search gives them, from an index that build_index wrote.
+
+    The filters on letter and term reach the files, so only the postings of the query's terms are
+    read. A phrase counts the places from which all its words follow each other.
+    """
+    terms = parse(query)
+    rows = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings")
+    if not terms:
+        return rows.select(*key, F.lit(0.0).alias("score")).limit(0)
+    stats = spark.read.parquet(f"{path}/stats").first()
+    total, average = stats["n"], stats["avg"] or 1.0
+    hits = []
+    for k, (words, prefix) in enumerate(terms):
+        if prefix:
+            own = rows.filter((F.col("letter") == words[0][:1]) & F.col("term").startswith(words[0])).groupBy(*key).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        elif len(words) == 1:
+            own = rows.filter((F.col("letter") == words[0][:1]) & (F.col("term") == words[0])).select(*key, "tf", "dl")
+        else:
+            wanted = sorted(set(words))
+            some = rows.filter(F.col("letter").isin(*{w[:1] for w in wanted}) & F.col("term").isin(*wanted))
+            places = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"p{i}") for i, w in enumerate(wanted)]
+            full = some.groupBy(*key).agg(F.first("dl").alias("dl"), F.count("*").alias("c"), *places).filter(F.col("c") == len(wanted))
+            starts = [F.expr(f"transform(p{wanted.index(w)}, p -> p - {i})") for i, w in enumerate(words)]
+            own = full.select(*key, F.size(reduce(F.array_intersect, starts)).cast("long").alias("tf"), "dl").filter("tf > 0")
+        hits.append(own.select(*key, "dl", "tf", F.lit(k).alias("k")))
+    every = reduce(DataFrame.unionByName, hits)
+    counts = {r["k"]: r["c"] for r in every.groupBy("k").agg(F.count("*").alias("c")).collect()}  # a row for each term of the query
+    tf = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("tf"))), F.lit(0)) for k in range(len(terms))]
+    joined = every.groupBy(*key).agg(F.first("dl").alias("dl"), F.count("*").alias("c"), *[x.alias(f"t{k}") for k, x in enumerate(tf)]).filter(F.col("c") == len(terms))
+    score = reduce(lambda a, b: a + b, [_idf(total, F.lit(float(counts.get(k, 0)))) * F.col(f"t{k}") * (K1 + 1) / (F.col(f"t{k}") + K1 * (1 - B + B * F.col("dl") / average)) for k in range(len(terms))])
+    return joined.select(*key, score.alias("score"))
+
+
 def char_trigrams(text: Column) -> Column:
     """Distinct runs of three characters, for scripts without spaces."""
     flat = F.regexp_replace(F.lower(text), r"\s+", "")

@@ -174,3 +174,25 @@ def test_model_rows_match_a_loop(spark):
     df = spark.createDataFrame([("g", p, f, s, ty, None, None, "d", c) for p, f, s, ty, c in rows], "window string, pos long, file string, subject string, type string, date string, author string, detail string, continues boolean")
     got = sorted((r["start_order"], r["end_order"], r["type"]) for r in rules.rows_to_items(df, ["window"]).collect())
     assert got == [(1, 3, "X"), (4, 4, None), (5, 5, None)]
+
+
+def test_index_finds_what_a_scan_finds_and_reads_only_its_terms(spark, tmp_path):
+    import random
+
+    from dossierflow.operators import search
+
+    r = random.Random(6)
+    words = ["of", "the", "cat", "Été", "car", "dog", "one"]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randrange(1, 30)))) for k in range(200)] + [(900, ""), (901, "the the the of of the")]
+    passages = spark.createDataFrame(rows, "id int, text string")
+    path = str(tmp_path / "index")
+    search.build_index(passages, ["id"], path)
+    found = 0
+    for text in ("cat", '"of the"', "ca*", 'the "the the" ca*', "cat zebra", '"the cat of"', "ete", "", '"zebra the"'):
+        want = {x["id"]: round(x["score"], 9) for x in search.search(passages, text, ["id"]).collect()}
+        got = {x["id"]: round(x["score"], 9) for x in search.search_index(spark, path, text, ["id"]).collect()}
+        assert got == want, text
+        found += len(got)
+    assert found > 300
+    plan = spark.read.parquet(f"{path}/postings").filter("letter = 'c' and term = 'cat'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(letter" in plan and "EqualTo(term,cat)" in plan
