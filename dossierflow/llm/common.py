@@ -79,7 +79,8 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, which free removes."""
     path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: a task holds one in memory
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -143,13 +143,15 @@ def _linked(crowd: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """(a, b) of lines that have an earlier line at a distance of one. lines: a, b, first, text, one row for each line."""
-    keys = _halves(lines.select("a", "b", "text"), "text", False)
-    # keys that different lines share, one of them as its own
+    """(a, b) of lines that have an earlier line at a distance of one. lines: id, th, pos, line, a, b."""
+    keys = _halves(lines.select("a", "b", "line"), "line", False)
+    # keys that different lines share, one of them as its own; equal lines merge before each shuffle
     shared = keys.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("own").alias("own")).filter("own and low < high").select("key")
     shared = common.stored(shared)
-    wanted = common.stored(common.perhaps(keys, "key", shared).join(shared, "key", "left_semi").select("key", "a", "b").distinct())
-    texts = common.perhaps(lines, "a", wanted.select("a")).join(wanted.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    wanted = common.stored(common.perhaps(keys, "key", shared).select("key", "a", "b").distinct().join(shared, "key", "left_semi"))
+    # texts only of lines that have such a key
+    texts = common.perhaps(lines, "a", wanted.select("a")).groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.min("line").alias("text"))
+    texts = texts.join(wanted.select("a", "b").distinct(), ["a", "b"], "left_semi")
     rows = common.stored(_halves(texts, "text", True).join(wanted, ["key", "a", "b"], "left_semi"))
     common.free(shared, wanted)
     found = []
@@ -173,12 +175,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     every line goes that one edit separates from an earlier one.
     """
     places = _lines(df, id_col, text_col)
-    long = F.when(F.length("line") >= min_chars, F.col("line"))
+    near = common.stored(near_lines(places.filter(F.length("line") >= min_chars)))
     # equal lines merge before the shuffle, so one line that stands everywhere is a row of each task
-    different = common.stored(places.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("first"), F.min(long).alias("text")))
-    near = common.stored(near_lines(different.filter("text is not null").select("a", "b", "first", "text")))
+    firsts = places.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("first"))
     # written first: a join of two plain shuffles is one whose hot partitions Spark can split
-    decided = common.stored(different.select("a", "b", "n", "first").join(near.withColumn("near", F.lit(True)), ["a", "b"], "left").filter("n > 1 or near"))
+    decided = common.stored(firsts.join(near.withColumn("near", F.lit(True)), ["a", "b"], "left").filter("n > 1 or near"))
     gone = (
         common.perhaps(places.select("id", "th", "pos", "a", "b"), "a", decided.select("a"))
         .join(decided, ["a", "b"])
@@ -188,7 +189,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         .withColumnsRenamed({"id": "__gone_id", "th": "__gone_th"})
     )
     gone = common.stored(gone)
-    common.free(different, near)
+    common.free(near)
     # texts that lose no line stay where they are; only the others meet their places
     whole = common.perhaps(df.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text_col)}), "__th", gone.select("__gone_th"), "__hit")
     parts = F.split(F.col(text_col), "\n")
