@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Words that a task keeps encoded, and bytes that they may have in all.
-KEPT, KEPT_BYTES = 300_000, 64_000_000
+KEPT, KEPT_BYTES = 600_000, 128_000_000
 #: Longer words (bytes) are merged with a heap.
 LONG = 512
 BATCH_WORDS = 50_000
@@ -187,8 +187,10 @@ class Tokenizer:
                 text = text.translate(LOWER)
             return (older if fresh.search(text) else pattern).findall(text.lower() if self.lower else text)
 
+        first = {s[0] for s in self.special}
+
         def split(text: str) -> list[str | int]:
-            if special is None or not special.search(text):
+            if first.isdisjoint(text) or not special.search(text):
                 return plain(text)
             parts, at = [], 0
             for m in special.finditer(text):
@@ -240,23 +242,37 @@ def encoder(tokenizer: Tokenizer, digest: bool = False):
 
     No word reaches over white space, so texts are looked up by the stretches between it.
     """
-    split, names = tokenizer.splitter(), tokenizer.names
+    split = tokenizer.splitter()
+    digits, names = [str(k).encode() for k in range(tokenizer.size)], [n.encode("utf-8") for n in tokenizer.names]
     known: dict[str, tuple[int, bytes, bytes]] = {}
+    parts_known: dict[str | int, tuple[int, bytes, bytes]] = {}
     held = 0
 
+    def told(ids: list[int]) -> tuple[int, bytes, bytes]:
+        return len(ids), b" ".join([digits[k] for k in ids]), b" ".join([names[k] for k in ids])
+
     def learn(stretches: set[str]) -> None:
         nonlocal held
         if len(known) + len(stretches) > KEPT or held > KEPT_BYTES:
             known.clear()
+            parts_known.clear()
             held = 0
-        new = sorted(w for w in stretches if w not in known)
+        new = [w for w in stretches if w not in known]
         for i in range(0, len(new), BATCH_WORDS):
-            parts = [split(w) for w in new[i : i + BATCH_WORDS]]
-            words = sorted({w for p in parts for w in p if isinstance(w, str)})
-            codes = dict(zip(words, (x.tolist() for x in tokenizer.encode_words(words)), strict=True))
-            for w, p in zip(new[i : i + BATCH_WORDS], parts, strict=True):
-                ids = [k for x in p for k in (codes[x] if isinstance(x, str) else [x])]
-                known[w] = (len(ids), " ".join(map(str, ids)).encode(), " ".join(names[k] for k in ids).encode("utf-8"))
+            some = new[i : i + BATCH_WORDS]
+            parts = [split(w) for w in some]
+            fresh = {x for p in parts for x in p}.difference(parts_known)
+            words = [x for x in fresh if isinstance(x, str)]
+            for x, ids in zip(words, tokenizer.encode_words(words), strict=True):
+                parts_known[x] = told(ids.tolist())
+            for x in fresh.difference(words):
+                parts_known[x] = told([x])
+            for w, p in zip(some, parts, strict=True):
+                if len(p) == 1:
+                    known[w] = parts_known[p[0]]
+                else:
+                    own = [parts_known[x] for x in p]
+                    known[w] = (sum([o[0] for o in own]), b" ".join([o[1] for o in own]), b" ".join([o[2] for o in own]))
                 held += 4 * len(w) + 2 * len(known[w][1])
 
     def run(texts: list[str | None]) -> list[list]:
