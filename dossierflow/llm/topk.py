@@ -17,8 +17,9 @@ beyond the range of a long is given as its nearest long (the ranking still uses
 
 Rows without an id take no part, nor do vectors that are null, or hold a null or a component that
 is not finite (before or after scaling). Shorter vectors count as padded with zeros. A query's own
-row is not its candidate; other rows of its id are, equal ones included. Every row of a repeated
-query has its own results, and a repeated vector is a candidate as often as it occurs. With fewer
+row is not its candidate; other rows of its id are, equal ones included (rows of one id are equal if
+their whole numbers are, whatever their components before the floor). Every row of a repeated query
+has its own results, and a repeated vector is a candidate as often as it occurs. With fewer
 than k candidates all are returned. An empty table gives an empty result; other columns are not
 read.
 """
@@ -122,13 +123,13 @@ def falling(score: int) -> str:
     return f"b{text}" if score < 0 else "a" + text.translate(str.maketrans("0123456789", "9876543210"))
 
 
-def _cell(k: int, scale: int):
+def _cell(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query": [], "query_id": [], "n": [], "vec_id": [], "score": [], "place": [], "below": []}
         if len(left) and len(right):
             right = right.sort_values(["id", "th"], kind="stable")
             width = max(max(map(len, left["v"])), max(map(len, right["v"])))
-            whole = lambda side: np.floor(_matrix(list(side["v"]), width) * scale)
+            whole = lambda side: _matrix(list(side["v"]), width)
             ids, query_ids = right["id"].to_numpy(), left["id"].to_numpy()
             names, counts = left["th"].to_numpy(), left["n"].to_numpy()
             for q, found, scores in best_in(whole(left), query_ids, whole(right), ids, right["n"].to_numpy(), k, left["seed"].to_numpy(float)):
@@ -163,19 +164,23 @@ def top_k(df: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "
     v = F.col(vector_col)
     finite = lambda x: F.abs(x.cast("double") * scale) < F.lit(float("inf"))  # noqa: E731  false for NaN, which is larger
     sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & finite(x))
-    named = df.filter(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double") + 0.0).alias("v"))
+    # a double of 2**52 or more is whole
+    floor = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+    # rows are equal if their whole numbers are: their own components may differ
+    named = df.filter(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: floor(x.cast("double") * scale)).alias("v"))
     rows = common.cut(named.groupBy("id", "v").agg(F.count("*").alias("n")).withColumn("th", F.xxhash64("id", "v")))
     total, asked = rows.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1))).first()
     across, down = max(1, math.ceil(total / VECTOR_GROUP)), max(1, math.ceil(asked / QUERY_GROUP))
+    # keys of a cogroup are long on both sides: an int and a long of one value hash to different partitions
     # ranges of ids would be uneven where ids are sparse; a hash deals them evenly, and each cell sorts its own
     queries = rows.filter(F.col("id") % every == 0).withColumn("r", F.pmod(F.xxhash64("th"), F.lit(down)))
-    vectors = rows.withColumn("c", F.pmod(F.xxhash64(F.lit(1), "th"), F.lit(across))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    vectors = rows.withColumn("c", F.pmod(F.xxhash64(F.lit(1), "th"), F.lit(across))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
     schema = "query long, query_id long, n long, vec_id long, score long, place string, below double"
 
     def searched(left: DataFrame, right: DataFrame) -> DataFrame:
         # both sides come from one frame: columns under new names keep Spark from taking one for the other
         other = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns]).withColumnsRenamed({f"{c}_": c for c in right.columns})
-        return left.groupBy("r", "c").cogroup(other.groupBy("r", "c")).applyInPandas(_cell(k, scale), schema)
+        return left.groupBy("r", "c").cogroup(other.groupBy("r", "c")).applyInPandas(_cell(k), schema)
 
     none = F.lit(None).cast("double")
     first = searched(queries.withColumns({"c": F.lit(0).cast("long"), "seed": none}), vectors.filter("c = 0")).withColumn("cell", F.lit(0).cast("long"))

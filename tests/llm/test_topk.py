@@ -41,6 +41,22 @@ def test_repeated_rows_and_rows_that_share_an_id(spark):
     check(spark, rows)
 
 
+def test_rows_of_one_id_that_differ_only_before_the_floor(spark):
+    check(spark, [(50, [1.0, 2.0]), (50, [1.0001, 2.0]), (50, [1.0002, 2.0]), (1, [0.1, 0.1]), (1, [0.1001, 0.1]), (0, [-0.001, 0.0]), (0, [-0.002, 0.0])])
+
+
+@pytest.mark.parametrize("setting", ["spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled"])
+def test_partitions_that_stay_apart(spark, monkeypatch, setting):
+    monkeypatch.setattr(topk, "VECTOR_GROUP", 60)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 3)
+    r = random.Random(11)
+    spark.conf.set(setting, "false")
+    try:
+        check(spark, [(k, [r.gauss(0, 1) for _ in range(6)]) for k in range(-60, 301)], "float")
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_components_of_any_size(spark):
     check(spark, [(0, [1e300, 1.0]), (1, [-1e300, 2.0]), (2, [1e15, 3.0]), (3, [1e15 + 1, 3.0]), (50, [1e12, 1e-3]), (51, [1.7e308, 0.0]), (52, [2.0**26 + 1 / 256, 2.0**26]), (53, [2.0**26, 2.0**26 + 1 / 256])])
     check(spark, [(0, [2.0**22, 2.0**22 + 1 / 256]), (1, [2.0**22, 2.0**22]), (2, [2.0**22 + 1 / 256, 2.0**22 - 1 / 256]), (3, [2.0**22 - 1 / 256, 2.0**22])])
