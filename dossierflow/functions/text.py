@@ -52,17 +52,45 @@ def settled(df, **columns: Column):
     return df.select("*", F.explode(F.array(entry)).alias("__s")).select(*df.columns, "__s.*")
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _beyond(text: Column) -> Column:
+    """What text has from U+0370 on, where all scripts but Latin stand."""
+    return F.when(F.octet_length(text) == F.length(text), F.lit("")).otherwise(F.regexp_replace(text, r"[\x{0}-\x{36F}]+", ""))
+
+
+def _latin(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, f"[^{SCRIPTS['latin']}]", ""))
+
+
+def _counts(text: Column, beyond: Column) -> dict[str, Column]:
+    return {name: _latin(text) if name == "latin" else F.length(F.regexp_replace(beyond, f"[^{chars}]+", "")) for name, chars in SCRIPTS.items()}
+
+
 def script_counts(text: Column) -> dict[str, Column]:
-    return {name: F.length(F.regexp_replace(text, f"[^{chars}]", "")) for name, chars in SCRIPTS.items()}
+    return _counts(text, _beyond(text))
 
 
-def dominant_script(text: Column) -> Column:
-    """The script with most letters (kana counts for han from 5 % on); null without letters."""
-    counts = script_counts(text)
+def _most(counts: Column) -> Column:
     east = counts["han"] + counts["kana"]
-    scored = {**counts, "kana": F.when(counts["kana"] >= 0.05 * east, east).otherwise(F.lit(0)), "han": F.when(counts["kana"] < 0.05 * F.greatest(east, F.lit(1)), east).otherwise(F.lit(0))}
+    scored = {name: counts[name] for name in SCRIPTS} | {"kana": F.when(counts["kana"] >= 0.05 * east, east).otherwise(F.lit(0)), "han": F.when(counts["kana"] < 0.05 * F.greatest(east, F.lit(1)), east).otherwise(F.lit(0))}
     best = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, c) in enumerate(scored.items())]))
-    return F.when(best["n"] > 0, best["name"])
+    return _let(best, lambda x: F.when(x["n"] > 0, x["name"]))
+
+
+def dominant_script(text: Column) -> Column:
+    """The script with most letters (kana counts for han from 5 % on); null without letters."""
+    others = "".join(chars for name, chars in SCRIPTS.items() if name != "latin")
+
+    def named(beyond: Column) -> Column:
+        counted = F.struct(*[c.alias(name) for name, c in _counts(text, beyond).items()])
+        # letters are counted only where scripts compete
+        return F.when(beyond.rlike(f"[{others}]"), _let(counted, _most)).when(text.rlike(f"[{SCRIPTS['latin']}]"), F.lit("latin"))
+
+    return _let(_beyond(text), named)
 
 
 def without_struck(text: Column) -> Column:
