@@ -55,3 +55,18 @@ def test_scripts_and_caps(spark):
 def test_a_cap_costs_less_than_three_passes(spark):
     df = _prose(spark)
     assert _seconds(df.select(F.length(t.page_cap(F.col("text"), F.col("id") % 2 == 0)))) < 3 * _seconds(_letter_by_letter(df))
+
+
+def test_counts_of_every_script(spark):
+    c, texts = F.col("text"), _texts()
+    counts = F.struct(*[n.alias(name) for name, n in t.script_counts(c).items()])
+    for text, got in spark.createDataFrame([(x,) for x in texts], "text string").select("text", counts).collect():
+        assert got.asDict() == _plain(text)[0], text
+    # bytes that are not UTF-8 count as no letters
+    unsound = F.concat(F.unhex(F.lit("61C3")).cast("string"), F.lit("é b"), F.unhex(F.lit("80FFE4")).cast("string"), F.lit("c"))
+    assert spark.range(1).select(t.script_counts(unsound)["latin"]).first()[0] == 4
+
+
+def test_script_and_letters_cost_less_than_one_pass(spark):
+    df, c = _prose(spark), F.col("text")
+    assert _seconds(df.select(t.dominant_script(c), t.script_counts(c)["latin"])) < _seconds(_letter_by_letter(df))
